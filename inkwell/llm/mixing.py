@@ -109,7 +109,7 @@ def mix_sources(
     places = per.withColumn("bucket_at", F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     places = places.join(plan.select(F.col("source").alias("s2"), "srank", "source_size", "target", "block_words"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2", "words")
     places = places.withColumnRenamed("source", "s2").withColumnRenamed("bucket", "b2")
-    laid = rows.join(places, (F.col("bucket") == F.col("b2")) & F.col("source").eqNullSafe(F.col("s2"))).drop("s2", "b2")
+    laid = rows.join(places.hint("merge"), (F.col("bucket") == F.col("b2")) & F.col("source").eqNullSafe(F.col("s2"))).drop("s2", "b2")
     w = W.partitionBy("srank", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     laid = laid.withColumn("place", F.col("bucket_at") + F.coalesce(F.sum("size").over(w), F.lit(0)))
     laid = staged(laid.select("doc_id", "source", "srank", "size", "source_size", "target", "place", "block_words"), "mix-places")
@@ -117,7 +117,7 @@ def mix_sources(
     pieces = laid.filter("size > 0").withColumn("block", F.explode(F.expr("sequence(place div block_words, (place + size - 1) div block_words)")))
     first, last = F.greatest("place", F.expr("block * block_words")), F.least(F.expr("place + size"), F.expr("(block + 1) * block_words"))
     pieces = pieces.select("source", "srank", "block", "doc_id", "place", (first - F.col("place")).alias("start"), (last - first).alias("words"))
-    mix = slots.join(pieces, ["srank", "block"]).select("slot", "source", "srank", "epoch", "block", "doc_id", "place", "start", "words")
+    mix = slots.join(pieces.hint("merge"), ["srank", "block"]).select("slot", "source", "srank", "epoch", "block", "doc_id", "place", "start", "words")
     return Mix(laid, targets, mix)
 
 
@@ -125,5 +125,5 @@ def taken(found: Mix) -> DataFrame:
     """A row for each input row: ``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and ``taken``, the words that the mix takes of it."""
     took = found.mix.groupBy("srank", "place").agg(F.sum("words").alias("taken"))
     rows = found.documents
-    some = rows.filter("size > 0").join(took, ["srank", "place"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    some = rows.filter("size > 0").join(took.hint("merge"), ["srank", "place"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     return some.unionByName(rows.filter("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
