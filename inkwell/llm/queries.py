@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, telephony
+from . import mixing, neardup, packing, sharding, telephony, toxicity
 from .common import documents
 
 
@@ -15,6 +15,17 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), words=2)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix_sources(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -37,7 +48,7 @@ def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_source_mix, op4_pack_sequences, op6_shards, op9_telephony)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_source_mix, op4_pack_sequences, op6_shards, op9_telephony)}
 
 
 def oracle_sql() -> dict[str, str]:
