@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, sharding, telephony, toxicity
+from . import licenses, mixing, neardup, packing, pii, sharding, telephony, toxicity
 from .common import documents
 
 
@@ -36,6 +36,23 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    found = found.withColumn("base", F.expr("filter(licenses, x -> x.base)"))
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["label"]))), ",")
+    at = F.transform("base", lambda x: x["at"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(at).cast("long").alias("first_word"),
+        F.array_max(at).cast("long").alias("last_word"),
+        labels(F.col("base")).alias("base_labels"),
+        labels(F.col("licenses")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("licenses", lambda x: x["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_records(documents(spark, sf_dir)).rows
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -47,8 +64,16 @@ def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.decode_media(media, keep_pcm=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(pii, x -> x.kind = '{k}')) as long) as n_{k}") for k in pii.BASE]
+    written = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])))
+    base = F.filter("pii", lambda x: x["k"] < len(pii.BASE))
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("pii")).alias("spans"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_source_mix, op4_pack_sequences, op6_shards, op9_telephony)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_source_mix, op4_pack_sequences, op5_licenses, op6_shards, op9_telephony, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
