@@ -1,16 +1,10 @@
-"""Corpus pipeline: the stages, each fed with what the one before kept."""
+"""Corpus pipeline: toxicity, near duplicates, personal data, source mix, packing; each stage works on what the one before it kept."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from inkwell.llm.stages import STAGES, run
 
-from inkwell.llm import stages
-
-STAGES = stages.STAGES
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
 
 #: SQL can express neither the trained classifiers nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stages.run(spark, sf_dir)

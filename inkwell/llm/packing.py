@@ -7,11 +7,11 @@ is packed on its own by lengths alone, so a group's size, not the corpus, bounds
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,11 +133,11 @@ def token_pieces(docs: DataFrame, *, vocabulary: str, id_col: str = "doc_id", te
     """Pieces of at most ``capacity`` token ids (``ids``: little-endian unsigned 32-bit) of each document, its ``end_id`` included.
 
     A null or empty text is the end id alone. Long texts give as many pieces as they need, one text in memory at a time. ``salt``
-    tells equal rows apart.
+    is a row's own number, made of its task's number and its place there; the pieces are to be written before they are read twice.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, end, seen = encoder(vocabulary), np.array([end_id], "<u4"), 0
+        own, end, seen = encoder(vocabulary), np.array([end_id], "<u4"), TaskContext.get().partitionId() << 33
         for batch in batches:
             for k in range(0, len(batch), 256):
                 some, out = batch.iloc[k : k + 256], []
@@ -163,7 +163,7 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, group_pieces: int = 8192, s
     its group's number times 2**32 plus its bin. An empty table gives no rows.
     """
     groups = max(1, -(-pieces.count() // group_pieces))
-    columns = [c for c in pieces.columns if c != "salt"]
+    columns = pieces.columns
     dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "salt"), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name in columns)
 
@@ -182,8 +182,5 @@ def pack_documents(docs: DataFrame, *, vocabulary: str, capacity: int = 2048, **
     """
     pieces = staged(token_pieces(docs, vocabulary=vocabulary, capacity=capacity, **options), "pack-pieces")
     placed = pack(pieces.drop("ids"), capacity=capacity)
-    return placed.join(pieces.select("doc_id", "start", "ids"), ["doc_id", "start"])
+    return placed.join(pieces.select("salt", "start", "ids").hint("merge"), ["salt", "start"]).drop("salt")
 
-
-def crc(ids: bytes) -> int:
-    return zlib.crc32(ids)
