@@ -1,11 +1,296 @@
-"""Registered queries of the search engine with their SQL."""
+"""Registered queries of the search engine with their SQL; each is an operator applied to whole tables.
+
+The index is built once for a session and folder.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from ..functions import codec, scoring, urls
+from ..functions.text import tokenize
+from ..operators import crawl, index
+from ..operators.search import Engine, missing_ids, run_lines
+from ..sources import files
+
+QUERY, CHUNK_LINES, K = "the of and that", 250, 10
+PAIR, REPEATED, LOST = "the on", "the the of", "the zzzunknown"
+_engines: dict[tuple[str, str], Engine] = {}
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("int").alias("query_id"), F.col("text").alias("query"))
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _engines:
+        _engines[key] = Engine.over(docs(spark, sf_dir))
+    return _engines[key]
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with ``line_no`` in order of ids. The ids of the tables are dense, so a range of ids is counted first."""
+    rows = docs(spark, sf_dir).withColumn("g", F.floor(F.col("doc_id") / 65536))
+    counts = rows.groupBy("g").count()
+    offsets = counts.select("g", F.coalesce(F.sum("count").over(W.orderBy("g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("o"))
+    nth = F.row_number().over(W.partitionBy("g").orderBy("doc_id"))
+    return rows.withColumn("n", nth).join(offsets, "g").select("doc_id", "text", (F.col("o") + F.col("n")).cast("long").alias("line_no"))
+
+
+# --- SQL pieces
+TOKENS = "tok AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS term FROM documents)"
+POSTINGS = f"{TOKENS}, post AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL)"
+PAGES = "pt AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS BIGINT) AS num_words FROM documents)"
+STATS = "st AS (SELECT count(*) AS n_docs, avg(num_words) AS avgdl FROM pt)"
+LEX = "lex AS (SELECT term, count(*) AS df FROM post GROUP BY term)"
+BASE = f"{POSTINGS}, {PAGES}, {STATS}, {LEX}"
+IDF = "ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1)"
+SCORE = f"{IDF} * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * num_words / avgdl))"
+BLOCKED = "gp AS (SELECT term, doc_id, tf, CAST(floor(n / 128) AS BIGINT) AS block, CAST(n % 128 AS BIGINT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS n FROM post))"
+GAPS = f"{BLOCKED}, gaps AS (SELECT *, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term, block ORDER BY doc_id), 0) AS gap FROM gp)"
+
+
+def vb(x: str) -> str:
+    return f"CASE WHEN {x} < 128 THEN 1 WHEN {x} < 16384 THEN 2 WHEN {x} < 2097152 THEN 3 WHEN {x} < 268435456 THEN 4 ELSE 5 END"
+
+
+BLOCKS = f"{GAPS}, bl AS (SELECT term, block, max(doc_id) AS last_doc_id, count(*) AS n, CAST(sum({vb('gap')}) AS BIGINT) AS doc_bytes, CAST(sum({vb('tf')}) AS BIGINT) AS freq_bytes FROM gaps GROUP BY term, block)"
+LINKS = r"""lk AS (SELECT page_id, CAST(p AS BIGINT) AS pos, nullif(split_part(href, '#', 1), '') AS href FROM (
+  SELECT page_id, CASE WHEN h LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h ELSE h END AS href, p FROM (
+  SELECT page_id, url, unnest(hs) AS h, unnest(range(len(hs))) AS p FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1) AS hs FROM pages))) WHERE nullif(split_part(href, '#', 1), '') IS NOT NULL)"""
+NETLOC = r"coalesce(regexp_extract(href, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '')"
+EXT = r"lower(regexp_extract(href, '[^/](\.[^./]*)$', 1))"
+
+
+def search_sql(query: str, mode: str, k: int = K) -> str:
+    terms = query.split()
+    wanted = ", ".join(f"('{t}', {terms.count(t)})" for t in dict.fromkeys(terms))
+    having = f" HAVING count(*) = {len(set(terms))}" if mode == "c" else ""
+    return f"""WITH {BASE}, q(term, qtf) AS (VALUES {wanted}),
+      f AS (SELECT doc_id, round(sum(qtf * {SCORE}), 6) AS score FROM q JOIN lex USING (term) JOIN post USING (term) JOIN pt USING (doc_id), st GROUP BY doc_id{having})
+      SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM f QUALIFY rank <= {k}"""
+
+
+def batch_sql(mode: str) -> str:
+    having = " HAVING count(*) = max(n_terms)" if mode == "c" else ""
+    return f"""WITH {BASE}, q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT CAST(item_id AS INTEGER) AS query_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS term FROM benchmark) GROUP BY ALL),
+      qn AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n_terms FROM q),
+      f AS (SELECT query_id, doc_id, round(sum(qtf * {SCORE}), 6) AS score FROM qn JOIN lex USING (term) JOIN post USING (term) JOIN pt USING (doc_id), st GROUP BY query_id, doc_id{having})
+      SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM f QUALIFY rank <= {K}"""
+
+
+def search(query: str, mode: str) -> tuple[Callable, str]:
+    return lambda s, d: engine(s, d).search(query, mode, K), search_sql(query, mode)
+
+
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the benchmark, each twice as large: about half have a query."""
+    return bench(spark, sf_dir).select((F.col("query_id") * 2).cast("int").alias("query_id"))
+
+
+def gap_rows(s: SparkSession, d: str) -> DataFrame:
+    return index.gaps(engine(s, d).index.postings)
+
+
+def links(s: SparkSession, d: str) -> DataFrame:
+    return crawl.page_links(pages(s, d))
+
+
+def seen_links(s: SparkSession, d: str) -> DataFrame:
+    return crawl.first_seen(links(s, d), ["page_id", "pos"])
+
+
+BAD = ("", ".php", ".pdf")
+
+
+def bad(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([(b,) for b in BAD], "ext string")
+
+
+def frontier(s: SparkSession, d: str) -> DataFrame:
+    found = seen_links(s, d).select("href", F.lit(1).alias("depth"), F.col("page_id").alias("seq"), "pos")
+    return crawl.enqueue(found, s.createDataFrame([], "domain string, cnt long"))
+
+
+FIRST = "fs AS (SELECT href, first(page_id ORDER BY page_id, pos) AS page_id, first(pos ORDER BY page_id, pos) AS pos FROM lk GROUP BY href)"
+FRONTIER = f"{LINKS}, {FIRST}, fr AS (SELECT href AS url, {NETLOC} AS domain, 1 AS depth, row_number() OVER (PARTITION BY {NETLOC} ORDER BY page_id, pos) AS cnt FROM fs)"
+PRIORITY = "CAST(CASE WHEN cnt IS NULL THEN 0 WHEN cnt BETWEEN 2 AND 3 THEN 1 WHEN cnt <= 9 THEN 2 ELSE 3 END AS INTEGER)"
+
+LOG_ROWS = ("1 0 https://a.org/ Mon Jan  5 03:04:05 2026 200 1234", "2 1 https://b.org/x Mon Jan 12 23:04:07 2026 404 0", "3 1 https://a.org/y Tue Jan 13 00:00:01 2026 200 99", "Total time: 00:00:03")
+LOG_SQL = """lg(url_id, depth, url, ts, status, bytes) AS (VALUES (1::BIGINT, 0, 'https://a.org/', TIMESTAMP '2026-01-05 03:04:05', 200, 1234::BIGINT),
+  (2::BIGINT, 1, 'https://b.org/x', TIMESTAMP '2026-01-12 23:04:07', 404, 0::BIGINT), (3::BIGINT, 1, 'https://a.org/y', TIMESTAMP '2026-01-13 00:00:01', 200, 99::BIGINT))"""
+
+
+def log_frame(s: SparkSession) -> DataFrame:
+    return crawl.parse_log(s.createDataFrame([(x,) for x in LOG_ROWS], "value string"))
+
+
+def crawl_simulation(s: SparkSession, d: str) -> DataFrame:
+    """A crawl of the whole snapshot from its first pages, a thousand URLs a round."""
+    seeds = [r.url for r in pages(s, d).orderBy("page_id").limit(20).collect()]
+    return crawl.simulate(pages(s, d), seeds, crawl.CrawlConfig(tld=".", batch=1000))
+
+
+def robots_filter(s: SparkSession, d: str) -> DataFrame:
+    """Pages that made-up rules of their domains allow: ``/`` paths with a digit 7 are closed for hosts in ``.org``."""
+    domains = pages(s, d).select(urls.netloc(F.col("url")).alias("domain")).distinct()
+    rules = domains.filter(F.col("domain").endswith(".org")).withColumn("body", F.lit("User-agent: *\nDisallow: /page/7\n"))
+    return crawl.robots_allowed(pages(s, d).select("page_id", "url"), rules)
+
+
+def robots_sql() -> str:
+    return r"SELECT page_id, url FROM pages WHERE NOT (regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) LIKE '%.org' AND regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) LIKE '/page/7%')"
+
+
+def roundtrip(s: SparkSession, d: str) -> DataFrame:
+    rows = gap_rows(s, d).groupBy("term", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "gap"))), lambda x: x["gap"]).alias("gaps"))
+    out = rows
+    for c in codec.CONVENTIONS:
+        out = out.withColumn(f"{c}_bytes", codec.varbyte_encode(F.col("gaps"), c)).withColumn(f"{c}_ok", codec.varbyte_decode(F.col(f"{c}_bytes"), c) == F.col("gaps"))
+    return out.select("term", "block", F.octet_length("continue_bytes").cast("long").alias("n_bytes"), (F.col("continue_ok") & F.col("stop_ok")).alias("same"))
+
+
+def catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    found: dict[str, tuple[Callable, str | None]] = {
+        "tokenize_counts": (lambda s, d: docs(s, d).select(F.explode(tokenize("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n")), f"WITH {TOKENS} SELECT term, count(*) AS n FROM tok GROUP BY term"),
+        "doc_length": (lambda s, d: index.page_table(docs(s, d)), f"WITH {PAGES} SELECT * FROM pt"),
+        "corpus_stats": (lambda s, d: index.corpus_stats(index.page_table(docs(s, d))).withColumn("avgdl", F.round("avgdl", 6)), f"WITH {PAGES} SELECT count(*) AS n_docs, round(avg(num_words), 6) AS avgdl, max(doc_id) AS max_doc_id, CAST(sum(num_words) AS BIGINT) AS total_words FROM pt"),
+        "vocab_word_ids": (lambda s, d: index.word_ids(engine(s, d).index.lexicon), f"WITH {TOKENS} SELECT term, row_number() OVER (ORDER BY term) - 1 AS word_id FROM (SELECT DISTINCT term FROM tok)"),
+        "term_freq_postings": (lambda s, d: index.postings(docs(s, d)), f"WITH {POSTINGS} SELECT * FROM post"),
+        "postings_by_word": (
+            lambda s, d: index.by_word(engine(s, d).index.postings).select("term", F.size("postings").cast("long").alias("df"), F.array_join(F.transform("postings", lambda x: F.concat_ws(" ", x["doc_id"], x["tf"])), " ").alias("line")),
+            f"WITH {POSTINGS} SELECT term, count(*) AS df, string_agg(doc_id || ' ' || tf, ' ' ORDER BY doc_id) AS line FROM post GROUP BY term",
+        ),
+        "doc_freq": (lambda s, d: index.document_frequency(engine(s, d).index.postings), f"WITH {POSTINGS}, {LEX} SELECT * FROM lex"),
+        "indexed_tokens": (
+            lambda s, d: engine(s, d).index.postings.join(index.word_ids(engine(s, d).index.lexicon), "term").groupBy("word_id").agg(F.sum("tf").cast("long").alias("n"), F.count("*").alias("df")),
+            f"WITH {POSTINGS}, w AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS word_id FROM (SELECT DISTINCT term FROM tok)) SELECT word_id, CAST(sum(tf) AS BIGINT) AS n, count(*) AS df FROM post JOIN w USING (term) GROUP BY word_id",
+        ),
+        "chunk_postings": (
+            lambda s, d: index.chunk_postings(numbered(s, d), CHUNK_LINES),
+            f"WITH l AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS line_no FROM documents) SELECT CAST(floor((line_no - 1) / {CHUNK_LINES}) AS BIGINT) AS chunk_id, term, doc_id, count(*) AS tf FROM (SELECT line_no, doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS term FROM l) GROUP BY ALL",
+        ),
+        "chunk_merge": (lambda s, d: index.merge_chunks(index.chunk_postings(numbered(s, d), CHUNK_LINES)), f"WITH {POSTINGS} SELECT * FROM post"),
+        "byte_extents": (
+            lambda s, d: index.byte_extents(numbered(s, d)),
+            "WITH l AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, strlen(CAST(doc_id AS VARCHAR)) + 1 AS lead, strlen(text) AS size FROM documents) SELECT doc_id, CAST(coalesce(sum(lead + size + 1) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + lead AS BIGINT) AS text_start, CAST(size AS BIGINT) AS end_diff FROM l",
+        ),
+        "posting_blocks": (lambda s, d: index.posting_blocks(gap_rows(s, d)), f"WITH {POSTINGS}, {BLOCKS} SELECT * FROM bl"),
+        "posting_gaps": (lambda s, d: gap_rows(s, d).select("term", "doc_id", "block", "pos", "gap"), f"WITH {POSTINGS}, {GAPS} SELECT term, doc_id, block, pos, gap FROM gaps"),
+        "gap_decode": (lambda s, d: index.decode_gaps(gap_rows(s, d)), f"WITH {POSTINGS}, {BLOCKED} SELECT term, block, pos, doc_id FROM gp"),
+        "varbyte_len": (
+            lambda s, d: engine(s, d).index.postings.select((F.col("doc_id") * F.col("doc_id") * F.col("tf")).alias("n")).distinct().withColumn("size", codec.varbyte_length(F.col("n"))),
+            f"WITH {POSTINGS} SELECT DISTINCT doc_id * doc_id * tf AS n, CAST({vb('doc_id * doc_id * tf')} AS BIGINT) AS size FROM post",
+        ),
+        "varbyte_roundtrip": (roundtrip, f"WITH {POSTINGS}, {GAPS} SELECT term, block, CAST(sum({vb('gap')}) AS BIGINT) AS n_bytes, true AS same FROM gaps GROUP BY term, block"),
+        "lexicon_offsets": (
+            lambda s, d: index.lexicon_offsets(index.posting_blocks(gap_rows(s, d))),
+            f"""WITH {POSTINGS}, {BLOCKS}, wd AS (SELECT term, sum({vb('last_doc_id')} + {vb('doc_bytes')} + {vb('freq_bytes')}) AS meta, sum(doc_bytes + freq_bytes) AS data, sum(n) AS df FROM bl GROUP BY term),
+            pl AS (SELECT *, row_number() OVER (ORDER BY term) - 1 AS word_id, coalesce(sum(meta + data) OVER (ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM wd)
+            SELECT term, word_id, CAST(s AS BIGINT) AS metadata_start, CAST(s + meta AS BIGINT) AS metadata_end, CAST(df AS BIGINT) AS df FROM pl""",
+        ),
+        "next_geq": (
+            lambda s, d: index.next_geq(engine(s, d).index.postings, engine(s, d).index.lexicon.select("term", F.explode(F.expr("array(0L, 129L, 1099511627776L)")).alias("target"))),
+            f"WITH {POSTINGS}, pr AS (SELECT DISTINCT term, unnest([0, 129, 1099511627776])::BIGINT AS target FROM post) SELECT term, target, min(doc_id) FILTER (doc_id >= target) AS doc_id FROM pr JOIN post USING (term) GROUP BY term, target",
+        ),
+        "idf_table": (
+            lambda s, d: engine(s, d).index.lexicon.select("term", "df", F.round(scoring.idf(F.lit(float(engine(s, d).index.n_docs)), F.col("df")), 6).alias("idf")),
+            f"WITH {POSTINGS}, {PAGES}, {STATS}, {LEX} SELECT term, df, round({IDF}, 6) AS idf FROM lex, st",
+        ),
+        "bm25_term_score": (
+            lambda s, d: engine(s, d).index.postings.join(engine(s, d).index.lexicon, "term").join(engine(s, d).index.page_table, "doc_id").select("term", "doc_id", F.round(engine(s, d).score(F.col("tf"), F.col("df"), F.col("num_words")), 6).alias("score")),
+            f"WITH {BASE} SELECT term, doc_id, round({SCORE}, 6) AS score FROM post JOIN lex USING (term) JOIN pt USING (doc_id), st",
+        ),
+        "term_exists": (
+            lambda s, d: s.createDataFrame([(t,) for t in (*LOST.split(), *QUERY.split())], "term string").distinct().join(engine(s, d).index.lexicon, "term", "left_semi"),
+            f"WITH {POSTINGS}, {LEX} SELECT term FROM (VALUES ('the'), ('zzzunknown'), ('of'), ('and'), ('that')) v(term) WHERE term IN (SELECT term FROM lex)",
+        ),
+        "missing_terms": (lambda s, d: s.createDataFrame([(t,) for t in engine(s, d).missing(LOST)], "term string"), f"WITH {POSTINGS}, {LEX} SELECT term FROM (VALUES ('the'), ('zzzunknown')) v(term) WHERE term NOT IN (SELECT term FROM lex)"),
+        "rarity_order": (
+            lambda s, d: engine(s, d).index.lexicon.filter(F.col("term").isin(QUERY.split())).select(F.row_number().over(W.orderBy("df", "term")).cast("long").alias("place"), "term", "df"),
+            f"WITH {POSTINGS}, {LEX} SELECT row_number() OVER (ORDER BY df, term) AS place, term, df FROM lex WHERE term IN ('the', 'of', 'and', 'that')",
+        ),
+        "search_or": search(QUERY, "d"),
+        "search_and": search(PAIR, "c"),
+        "search_and_missing": search(LOST, "c"),
+        "search_or_missing": search(LOST, "d"),
+        "search_repeated_term": search(REPEATED, "d"),
+        "search_empty": (lambda s, d: engine(s, d).search("!!!", "d"), "SELECT 0::BIGINT AS rank, 0::BIGINT AS doc_id, 0::DOUBLE AS score WHERE false"),
+        "search_batch_or": (lambda s, d: engine(s, d).search_batch(bench(s, d), "d", K), batch_sql("d")),
+        "search_batch_and": (lambda s, d: engine(s, d).search_batch(bench(s, d), "c", K), batch_sql("c")),
+        "search_batch_evaluated": (lambda s, d: engine(s, d).search_batch(bench(s, d), "d", K, evaluated(s, d)), f"SELECT * FROM ({batch_sql('d')}) WHERE query_id IN (SELECT item_id * 2 FROM benchmark)"),
+        "batch_missing_ids": (lambda s, d: missing_ids(bench(s, d), evaluated(s, d)), "SELECT DISTINCT CAST(item_id * 2 AS INTEGER) AS query_id FROM benchmark WHERE item_id * 2 NOT IN (SELECT item_id FROM benchmark)"),
+        "search_snippets": (
+            lambda s, d: engine(s, d).with_snippets(engine(s, d).search(QUERY, "d", K)),
+            f"SELECT rank, doc_id, score, CASE WHEN length(text) > 500 THEN left(text, 500) || '... [truncated]' ELSE text END AS snippet FROM ({search_sql(QUERY, 'd')}) JOIN documents USING (doc_id)",
+        ),
+        "result_tsv": (
+            lambda s, d: run_lines(engine(s, d).search_batch(bench(s, d), "d", K)).select(F.split("line", "\t").alias("c")).select(F.col("c")[0].cast("int").alias("query_id"), F.col("c")[1].cast("long").alias("doc_id"), F.round(F.col("c")[2].cast("double"), 1).alias("score")),
+            f"SELECT query_id, doc_id, round(score, 1) AS score FROM ({batch_sql('d')})",
+        ),
+        "page_links": (links, f"WITH {LINKS} SELECT * FROM lk"),
+        "link_domains": (lambda s, d: links(s, d).select("page_id", "pos", urls.netloc(F.col("href")).alias("domain")), f"WITH {LINKS} SELECT page_id, pos, {NETLOC} AS domain FROM lk"),
+        "link_ext": (lambda s, d: links(s, d).select("page_id", "pos", urls.extension(F.col("href")).alias("ext")), f"WITH {LINKS} SELECT page_id, pos, {EXT} AS ext FROM lk"),
+        "link_filtered": (
+            lambda s, d: crawl.filtered_links(links(s, d), bad(s), tld=".org").select("page_id", "pos", "href"),
+            f"WITH {LINKS} SELECT page_id, pos, href FROM lk WHERE {EXT} NOT IN ('', '.php', '.pdf') AND NOT contains(lower(href), 'cgi') AND contains({NETLOC}, '.org')",
+        ),
+        "link_first_seen": (seen_links, f"WITH {LINKS}, {FIRST} SELECT href, page_id, pos FROM fs"),
+        "links_unseen": (
+            lambda s, d: seen_links(s, d).join(pages(s, d).select(F.col("url").alias("href")).distinct(), "href", "left_anti"),
+            f"WITH {LINKS}, {FIRST} SELECT href, page_id, pos FROM fs WHERE href NOT IN (SELECT url FROM pages)",
+        ),
+        "domain_counts": (lambda s, d: crawl.domain_counts(links(s, d)), f"WITH {LINKS} SELECT {NETLOC} AS domain, count(*) AS cnt FROM lk GROUP BY 1"),
+        "domain_priority": (
+            lambda s, d: crawl.domain_counts(links(s, d)).select("domain", urls.priority(F.col("cnt")).alias("as_coded"), urls.priority(F.col("cnt"), "documented").alias("documented")),
+            f"WITH {LINKS}, c AS (SELECT {NETLOC} AS domain, count(*) AS cnt FROM lk GROUP BY 1) SELECT domain, {PRIORITY} AS as_coded, CAST(CASE WHEN cnt <= 1 THEN 0 WHEN cnt <= 3 THEN 1 WHEN cnt <= 9 THEN 2 ELSE 3 END AS INTEGER) AS documented FROM c",
+        ),
+        "frontier_order": (
+            lambda s, d: crawl.frontier_order(frontier(s, d), 100).select("priority", "depth", "url", "domain", "cnt"),
+            f"WITH {FRONTIER} SELECT {PRIORITY} AS priority, depth, url, domain, cnt FROM fr ORDER BY priority, depth, url LIMIT 100",
+        ),
+        "crawl_simulation": (crawl_simulation, None),
+        "robots_filter": (robots_filter, robots_sql()),
+        "crawl_log_parse": (lambda s, d: log_frame(s), f"WITH {LOG_SQL} SELECT * FROM lg"),
+        "crawl_log_stats": (
+            lambda s, d: crawl.log_stats(log_frame(s)),
+            f"WITH {LOG_SQL} SELECT count(*) AS n_urls, CAST(sum(bytes) AS BIGINT) AS total_bytes, count(*) FILTER (status NOT BETWEEN 200 AND 299) AS n_errors, CAST(date_diff('second', min(ts), max(ts)) AS BIGINT) AS seconds FROM lg",
+        ),
+        "ctime_text": (lambda s, d: log_frame(s).select("url_id", urls.as_ctime(F.col("ts")).alias("ctime"), urls.elapsed(F.col("url_id") * 30000).alias("elapsed")), "SELECT * FROM (VALUES (1::BIGINT, 'Mon Jan  5 03:04:05 2026', '08:20:00'), (2::BIGINT, 'Mon Jan 12 23:04:07 2026', '16:40:00'), (3::BIGINT, 'Tue Jan 13 00:00:01 2026', '01:00:00')) v(url_id, ctime, elapsed)"),
+        "collection_lines": (
+            lambda s, d: files.split_line(docs(s, d).select(F.col("doc_id").alias("line_no"), F.concat_ws("\t", F.col("doc_id").cast("string"), F.lit("x\ty"), "text").alias("value"))).select("line_no", "doc_id", F.sha2("text", 256).alias("digest")),
+            "SELECT doc_id AS line_no, doc_id, sha256('x' || chr(9) || 'y' || chr(9) || text) AS digest FROM documents",
+        ),
+        "posting_lines": (
+            lambda s, d: files.parse_runs(index.by_word(index.postings(docs(s, d)).join(index.word_ids(engine(s, d).index.lexicon), "term").select(F.col("word_id").alias("term"), "doc_id", "tf")).select(F.concat(F.col("term").cast("string"), F.lit(": "), F.array_join(F.transform("postings", lambda x: F.concat_ws(" ", x["doc_id"], x["tf"])), " ")).alias("value"))),
+            f"WITH {POSTINGS}, w AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS word_id FROM (SELECT DISTINCT term FROM tok)) SELECT word_id, doc_id, tf FROM post JOIN w USING (term)",
+        ),
+        "seed_sample": (lambda s, d: s.createDataFrame([(u,) for u in crawl.sample_seeds([f"https://site{i}.org/" for i in range(445)] + [""], 20)], "url string"), seed_sql()),
+    }
+    return found
+
+
+def seed_sql() -> str:
+    rows = crawl.sample_seeds([f"https://site{i}.org/" for i in range(445)] + [""], 20)
+    return f"SELECT * FROM (VALUES {', '.join(f'({u!r})' for u in rows)}) v(url)"
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in catalogue().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in catalogue().items() if sql}
