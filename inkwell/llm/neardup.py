@@ -7,9 +7,11 @@ differing bits of ``n``, which tells similarities near the threshold apart far b
 1. Documents of equal sets form a class; its smallest id stands for it. Copies take no further part.
 2. Classes that share a band key share a bucket. Every member is compared by sketch with its buckets' smallest members (as many pairs as
    rows); each member's closest two are confirmed on full sets, and confirmed links are joined into components.
-3. What is left are buckets that hold several components. There each member outside the bucket's largest component is compared by
-   sketch with all members of other components, inside the join, and what passes is confirmed. So every pair of a bucket is in one
-   component or has been tested, without pairs inside a component, whose number grows with the square of a group's size.
+3. What is left are buckets that hold several components. In a few rounds each member outside its buckets' largest components is
+   compared with one member of each of those, which again makes a pair for each row at most, and the closest two are confirmed.
+4. At last each member that is still outside is compared by sketch with all members of other components, inside the join, or in blocks
+   and by finer sketches where a bucket is big, and what passes is confirmed. So every pair of a bucket is in one component or has been tested, without pairs inside a component, whose
+   number grows with the square of a group's size.
 
 A pair at the threshold shares no bucket with probability ``(1 - t**rows)**bands`` (5e-7 by default) and fails the sketch's margin of
 four standard deviations with probability 3e-5.
@@ -33,6 +35,9 @@ from .common import staged
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SKETCH_WORDS = 16
 SKETCH_BITS = 64 * SKETCH_WORDS
+ROUNDS = 3  #: rounds of partners before all that is left is compared; they change the work, not the result
+BIG, BLOCK = 128, 1024  #: buckets of more members are compared in blocks of so many, by finer sketches
+FINE_SAMPLES, FINE_BITS = 2048, 8192
 FILTER_BITS = 1 << 22  #: size of the filter that spares documents without candidates the shuffle
 
 
@@ -55,44 +60,45 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 class Sampler:
-    """MinHash samples of a set, their band keys and their odd sketch."""
+    """``n`` MinHash samples of a set, and what is made of them."""
 
-    def __init__(self, bands: int, rows: int, seed: int):
+    def __init__(self, n: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.bands, self.rows, n = bands, rows, bands * rows
         self.a = (rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
         self.b = rng.integers(0, 1 << 32, n, dtype=np.uint32)[:, None]
         self.tag = mixed(np.arange(1, n + 1, dtype=np.uint64) * MIX_A)
-        self.band_tag = mixed(np.arange(1, bands + 1, dtype=np.uint64) * MIX_B)
+        self.width = max(64, (1 << 19) // n)
 
     def samples(self, shingles: np.ndarray) -> np.ndarray:
         x = (shingles >> np.uint64(32)).astype(np.uint32)
         low = None
-        for at in range(0, len(x), 2048):  # bounds memory for long texts
-            part = x[at : at + 2048][None, :] * self.a
+        for at in range(0, len(x), self.width):  # bounds memory for long texts
+            part = x[at : at + self.width][None, :] * self.a
             part += self.b
             part = part.min(axis=1)
             low = part if low is None else np.minimum(low, part)
         return low.astype(np.uint64)
 
-    def sketch(self, samples: np.ndarray) -> np.ndarray:
-        bits = (mixed(samples * MIX_A + self.tag) % np.uint64(SKETCH_BITS)).astype(np.int64)
-        parity = (np.bincount(bits, minlength=SKETCH_BITS) & 1).astype(np.uint8)
-        return np.packbits(parity).view(np.int64)
+    def sketch(self, samples: np.ndarray, bits: int) -> np.ndarray:
+        """Parity bitmap of the numbered samples."""
+        at = (mixed(samples * MIX_A + self.tag) % np.uint64(bits)).astype(np.int64)
+        return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
-    def keys(self, samples: np.ndarray) -> np.ndarray:
-        key = self.band_tag.copy()
-        for column in samples.reshape(self.bands, self.rows).T:
-            key = mixed(key * MIX_A + column)
-        return key.view(np.int64)
 
+def band_keys(samples: np.ndarray, bands: int) -> np.ndarray:
+    key = mixed(np.arange(1, bands + 1, dtype=np.uint64) * MIX_B)
+    for column in samples.reshape(bands, -1).T:
+        key = mixed(key * MIX_A + column)
+    return key.view(np.int64)
 
-def most_differing_bits(samples: int, similarity: float) -> int:
-    """Differing sketch bits that a pair of ``similarity`` shows at most, but for four standard deviations of both the samples and the fold."""
-    spread = math.sqrt(similarity * (1 - similarity) / samples)
-    apart = 2 * samples * (1 - similarity + 4 * spread)
-    expected = SKETCH_BITS / 2 * (1 - math.exp(-2 * apart / SKETCH_BITS))
-    return math.ceil(expected)
+
+def most_differing_bits(samples: int, bits: int, similarity: float) -> int:
+    """Differing sketch bits that a pair of ``similarity`` shows at most, but for four standard deviations of samples and fold together."""
+    apart = 2 * samples * (1 - similarity)
+    of_samples = 2 * math.sqrt(samples * similarity * (1 - similarity))
+    slope = math.exp(-2 * apart / bits)
+    of_fold = math.sqrt(bits / 4 * (1 - math.exp(-4 * apart / bits)))
+    return math.ceil(bits / 2 * (1 - slope) + 4 * math.hypot(of_samples * slope, of_fold))
 
 
 def signatures(docs: DataFrame, *, words: int, bands: int, rows: int, seed: int) -> DataFrame:
@@ -102,7 +108,7 @@ def signatures(docs: DataFrame, *, words: int, bands: int, rows: int, seed: int)
     ddl = ", ".join(f"{n} {'array<long>' if n == 'bands' else 'long'}" for n, _ in fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(bands, rows, seed)
+        sampler = Sampler(bands * rows, seed)
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
@@ -114,8 +120,8 @@ def signatures(docs: DataFrame, *, words: int, bands: int, rows: int, seed: int)
                         d = xxhash.xxh3_128_digest(s.tobytes())
                         m = sampler.samples(s)
                         key.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
-                        band.append(sampler.keys(m))
-                        sketch.append(sampler.sketch(m))
+                        band.append(band_keys(m, bands))
+                        sketch.append(sampler.sketch(m, SKETCH_BITS))
                     else:
                         key.append((None, None))
                         band.append(np.empty(0, np.int64))
@@ -193,6 +199,84 @@ def components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
+def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key``, ``id``, ``component`` and the bucket's ``largest`` component, of the buckets that hold several."""
+    named = members.select("key", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    named = staged(named.join(several, "key"), "dup-mixed")
+    largest = named.groupBy("key", "component").count().groupBy("key").agg(F.expr("max_by(component, struct(count, -component))").alias("largest"))
+    return staged(named.join(largest, "key"), "dup-mixed")
+
+
+def round_of_partners(named: DataFrame, links: DataFrame, sketch: DataFrame, zmax: int, tested: DataFrame, n: int) -> DataFrame:
+    """New pairs to confirm: each member outside its buckets' largest components with the two closest of their partners.
+
+    A bucket's partner is one member of its largest component: the one of most links in round 0, by hash after that. So a round makes a
+    pair for each row at most, and what has links to a share of a group finds one within a few rounds.
+    """
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
+    inside = named.filter("component = largest").join(degree, "id", "left")
+    order = F.struct(-F.coalesce("count", F.lit(0)), "id") if n == 0 else F.struct(F.xxhash64(F.lit(n), "key", "id"), "id")
+    partners = inside.groupBy("key").agg(F.min_by("id", order).alias("partner"))
+    pairs = named.filter("component <> largest").join(partners, "key").select("id", "partner").distinct().alias("p")
+    a, b = sketch.alias("a"), sketch.alias("b")
+    pairs = pairs.join(a, F.col("p.id") == F.col("a.id")).join(b, F.col("p.partner") == F.col("b.id")).select("p.id", "p.partner", differing_bits("a", "b").alias("z")).filter(F.col("z") <= zmax)
+    pairs = pairs.select("id", "z", F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b")).join(tested, ["a", "b"], "left_anti")
+    return pairs.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("z", "a", "b"))).filter("n <= 2").select("a", "b").distinct()
+
+
+def across(x: str, y: str):
+    """Rows of different components of a bucket, one of them outside its largest; each two once."""
+    return (F.col(f"{x}.component") != F.col(f"{y}.component")) & ((F.col(f"{y}.component") == F.col(f"{y}.largest")) | (F.col(f"{x}.id") < F.col(f"{y}.id")))
+
+
+def pairs_of_small(named: DataFrame, sketch: DataFrame, zmax: int) -> DataFrame:
+    """Pairs across components, within the sketch's margin, of buckets of at most ``BIG`` members: so at most as many times their rows."""
+    named = named.join(sketch, "id")
+    x, y = named.filter("component <> largest").alias("x"), named.alias("y")
+    both = x.join(y, (F.col("x.key") == F.col("y.key")) & across("x", "y") & (differing_bits("x", "y") <= zmax))
+    return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def pairs_of_big(named: DataFrame, texts: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+    """The same of buckets of more members, by finer sketches, which few unlinked pairs pass.
+
+    A bucket's outside members and its members are dealt by hash into blocks of about ``BLOCK``, and each two blocks meet in a task of
+    their own. A pair is given by the smallest of the big buckets that both are in.
+    """
+    zmax = most_differing_bits(FINE_SAMPLES, FINE_BITS, percent / 100)
+
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(FINE_SAMPLES, seed + 1)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                made = [sampler.sketch(sampler.samples(shingle_set(t, words)), FINE_BITS).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["id", "fine"])
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(x) and len(y):
+            bits = np.frombuffer(b"".join(y.fine), np.uint64).reshape(len(y), -1)
+            ids, component, of_largest = y.id.to_numpy(), y.component.to_numpy(), (y.component == y.largest).to_numpy()
+            for r in x.itertuples(index=False):
+                z = np.bitwise_count(bits ^ np.frombuffer(r.fine, np.uint64)).sum(axis=1, dtype=np.int64)
+                for k in np.flatnonzero((z <= zmax) & (component != r.component) & (of_largest | (r.id < ids))):
+                    if np.intersect1d(r.keys, y["keys"].iat[k]).min() == r.key:
+                        found.append((min(r.id, ids[k]), max(r.id, ids[k])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    keys = named.groupBy("id").agg(F.collect_list("key").alias("keys"))  # as many as bands at most
+    sketches = texts.join(named.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").mapInArrow(fine, "id long, fine binary")
+    rows = staged(named.join(keys, "id").join(sketches, "id").withColumn("h", F.xxhash64("id")), "dup-big")
+    nx, ny = F.ceil(F.col("outside") / BLOCK), F.ceil(F.col("n") / BLOCK)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    x = rows.filter("component <> largest").withColumn("bx", F.pmod("h", nx)).withColumn("by", all_of(ny))
+    y = rows.filter("outside > 0").withColumn("by", F.pmod("h", ny)).withColumn("bx", all_of(nx))
+    place = ["key", "bx", "by"]
+    return x.groupBy(*place).cogroup(y.groupBy(*place)).applyInPandas(meet, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -223,7 +307,7 @@ def near_duplicates(
     shared = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top").drop("top")
     members = staged(keyed.join(shared, "key"), "dup-members")
 
-    zmax = most_differing_bits(bands * rows, percent / 100)
+    zmax = most_differing_bits(bands * rows, SKETCH_BITS, percent / 100)
     a, b = sketch.alias("a"), sketch.alias("b")
     stars = members.filter("id <> hub").select("id", "hub").distinct().alias("p")
     stars = stars.join(a, F.col("p.id") == F.col("a.id")).join(b, F.col("p.hub") == F.col("b.id"))
@@ -234,20 +318,23 @@ def near_duplicates(
     texts = docs.filter("doc_id is not null").filter(id_filter(members.select("id")))
     texts = texts.join(members.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
     texts = staged(texts, "dup-texts")
-    links = staged(confirmed(tested, texts, words, percent), "dup-links")
-    labels = components(links)
-
-    named = members.select("key", "id").distinct().join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    named = staged(named.join(mixed_keys, "key"), "dup-mixed")
-    largest = named.groupBy("key", "component").count().groupBy("key").agg(F.expr("max_by(component, struct(count, -component))").alias("largest"))
-    named = named.join(largest, "key").join(sketch, "id")
-    x, y = named.filter("component <> largest").alias("x"), named.alias("y")
-    other = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id")))
-    rest = x.join(y, other & (differing_bits("x", "y") <= zmax)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    rest = staged(rest.join(tested, ["a", "b"], "left_anti"), "dup-pairs")
-    links = links.union(confirmed(rest, texts, words, percent))
-    labels = components(links)
+    links, left = staged(confirmed(tested, texts, words, percent), "dup-links"), None
+    for n in range(ROUNDS):
+        named = mixed_buckets(members, components(links))
+        rows, left_before = named.count(), left
+        left = rows
+        if rows == 0 or (left_before is not None and rows > 0.9 * left_before):
+            break
+        more, seen = round_of_partners(named, links, sketch, zmax, tested, n), tested
+        tested = staged(seen.union(more), "dup-pairs")
+        links = staged(links.union(confirmed(tested.join(seen, ["a", "b"], "left_anti"), texts, words, percent)), "dup-links")
+
+    named = mixed_buckets(members, components(links))
+    sizes = named.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("component") != F.col("largest")).alias("outside"))
+    named = staged(named.join(sizes, "key"), "dup-mixed")
+    rest = pairs_of_small(named.filter(F.col("n") <= BIG), sketch, zmax).union(pairs_of_big(named.filter(F.col("n") > BIG), texts, words, percent, seed))
+    rest = staged(rest.distinct(), "dup-pairs").join(tested, ["a", "b"], "left_anti")
+    labels = components(links.union(confirmed(rest, texts, words, percent)))
 
     copies = classes.filter("n > 1").select("k1", "k2", F.col("id").alias("copy_of"))
     out = sig.select("doc_id", "n_shingles", "k1", "k2").join(copies, ["k1", "k2"], "left").withColumn("at", F.coalesce("copy_of", "doc_id"))
