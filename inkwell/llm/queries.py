@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, neardup, packing, pii, sharding, telephony, toxicity
+from . import licenses, mixing, neardup, packing, pii, sharding, telephony, tokencount, topk, toxicity
 from .common import documents
 
 
@@ -58,6 +58,16 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(documents(spark, sf_dir), vocabulary=vocabulary("piece_bpe_32k.model"))
+
+
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    asked = docs.filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return topk.search(docs, asked, k=10)
+
+
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = telephony.encode_documents(documents(spark, sf_dir))
     media = media.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
@@ -73,7 +83,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_source_mix, op4_pack_sequences, op5_licenses, op6_shards, op9_telephony, op10_personal_data)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_source_mix, op4_pack_sequences, op5_licenses, op6_shards, op7_token_counts, op8_topk_search, op9_telephony, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
