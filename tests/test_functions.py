@@ -1,0 +1,93 @@
+"""Tokens, codec, scores and URL parts against plain Python."""
+
+import math
+import os.path
+import re
+from urllib.parse import urljoin, urlparse
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from inkwell.functions import codec, scoring, text, urls
+
+EDGES = ["", "   ", "Café", "don't", "a_b", "x86-64", "K", "İ", "a\r\nb", "A B a", None]
+NUMBERS = [0, 1, 127, 128, 16383, 16384, 2097151, 2097152, 268435455, 268435456, 4294967295]
+
+
+def test_tokenize(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(EDGES)], "i int, t string").select("i", text.tokenize("t").alias("x")).collect()
+    for r in rows:
+        assert r.x == [t.lower() for t in re.findall("[A-Za-z0-9]+", EDGES[r.i] or "")]
+    assert text.tokens_of("Don't X86-64 K") == ["don", "t", "x86", "64"]
+
+
+def test_tokenize_in_sql(spark):
+    text.register(spark)
+    assert spark.sql("SELECT tokenize('The CAT, the caté') AS x").first().x == ["the", "cat", "the", "cat"]
+
+
+def test_snippet(spark):
+    rows = spark.createDataFrame([("é" * 500,), ("é" * 501,), (None,)], "t string").select(text.snippet(F.col("t")).alias("x")).collect()
+    assert [r.x for r in rows] == ["é" * 500, "é" * 500 + "... [truncated]", None]
+
+
+@pytest.mark.parametrize("convention", codec.CONVENTIONS)
+@given(st.lists(st.integers(0, 2**62)))
+def test_codec_round_trip(convention, numbers):
+    assert codec.decode_numbers(codec.encode_numbers(numbers, convention), convention) == numbers
+
+
+def test_codec_bytes():
+    assert codec.encode_number(128) == b"\x80\x01" and codec.encode_number(128, "stop") == b"\x00\x81"
+    assert codec.encode_number(5) == b"\x05" and codec.encode_number(5, "stop") == b"\x85"
+    with pytest.raises(ValueError):
+        codec.decode_numbers(b"\x80")
+    with pytest.raises(ValueError):
+        codec.encode_number(-1)
+
+
+def test_codec_columns(spark):
+    df = spark.createDataFrame([(1, NUMBERS), (2, []), (3, None)], "i int, n array<long>")
+    for c in codec.CONVENTIONS:
+        got = {r.i: r.n for r in df.select("i", codec.varbyte_decode(codec.varbyte_encode(F.col("n"), c), c).alias("n")).collect()}
+        assert got == {1: NUMBERS, 2: [], 3: None}
+    sizes = spark.createDataFrame([(n,) for n in NUMBERS], "n long").select("n", codec.varbyte_length(F.col("n")).alias("s")).collect()
+    assert all(r.s == len(codec.encode_number(r.n)) for r in sizes)
+
+
+def test_scores(spark):
+    row = spark.range(1).select(scoring.bm25(F.lit(2.0), F.lit(2.0), F.lit(1.0), F.lit(3.0), F.lit(4.0)).alias("a"), scoring.bm25(F.lit(2.0), F.lit(2.0), F.lit(0.0), F.lit(3.0), F.lit(4.0)).alias("b")).first()
+    assert row.a == pytest.approx(math.log(1.2) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 3 / 4))) and row.b == 0
+    shown = spark.createDataFrame([(12.5,), (0.205433,), (1e-7,), (100000.0,)], "x double").select(scoring.as_text(F.col("x")).alias("t")).collect()
+    assert [float(r.t) for r in shown] == [12.5, 0.205433, 1e-7, 100000.0] and shown[0].t == "12.5"
+
+
+URLS = ["https://a.co.nz", "https://u@a.org:8/x/b.HTML?x=1.5#f", "http://a.org/x.tar.gz", "mailto:x@y.z", "", "//h/p", "x/y", "http://a.org/cGi-bin/x#"]
+
+
+def test_url_parts(spark):
+    rows = spark.createDataFrame([(u,) for u in URLS], "u string").select("u", urls.netloc(F.col("u")).alias("n"), urls.extension(F.col("u")).alias("e"), urls.without_fragment(F.col("u")).alias("f"), urls.has_cgi(F.col("u")).alias("c")).collect()
+    for r in rows:
+        assert r.e == os.path.splitext(r.u)[1].lower() and r.f == (r.u.partition("#")[0] or None) and r.c == ("cgi" in r.u.lower())
+        if r.u.startswith("http"):
+            assert r.n == urlparse(r.u).netloc
+
+
+def test_resolution(spark):
+    base = "http://h.org/a/b?c"
+    refs = ["x", "../y", "/z", "//o.org/p", "?q", "#f", "http://o.org/a/../b", "mailto:m", "http://o.org", "/a/./b", "/z#x", "http://[bad"]
+    rows = spark.createDataFrame([(base, r) for r in refs], "b string, h string").select("h", urls.resolve(F.col("b"), F.col("h")).alias("x")).collect()
+    assert all(r.x == urls.safe_join(base, r.h) for r in rows) and urls.safe_join(base, "../y") == urljoin(base, "../y")
+
+
+def test_priority_and_times(spark):
+    counts = [None, 1, 2, 3, 4, 9, 10]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(counts)], "i int, c long").select("i", urls.priority(F.col("c")).alias("a"), urls.priority(F.col("c"), "documented").alias("d")).orderBy("i").collect()
+    assert [r.a for r in rows] == [0, 2, 1, 1, 2, 2, 3] and [r.d for r in rows] == [0, 0, 1, 1, 2, 2, 3]
+    with pytest.raises(ValueError):
+        urls.priority(F.lit(1), "other")
+    told = "Mon Jan  5 03:04:05 2026"
+    row = spark.createDataFrame([(told,)], "t string").select(urls.as_ctime(urls.parse_ctime(F.col("t"))).alias("t"), urls.elapsed(F.lit(90061)).alias("e")).first()
+    assert row.t == told and row.e == "01:01:01"
