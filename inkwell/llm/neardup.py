@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -183,19 +183,20 @@ def components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
     Large-star and small-star steps in turn until nothing changes, each a minimum by node and a join back; edges stay in the shared
     folder and only a count and a checksum come to the driver.
     """
-    e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    e, before = staged(e, "links"), None
+    e, before = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), None
     for _ in range(rounds):
-        now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        seen = Observation()
+        e = staged(e.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v)) as x")), "links")
+        now = seen.get["n"], seen.get["x"]
         if now == before or now[0] == 0:
             break
         before = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))).alias("p"))
-        e = staged(small.select(F.col("p.x").alias("u"), F.col("p.y").alias("v")).filter("u <> v").distinct(), "links")
+        e = small.select(F.col("p.x").alias("u"), F.col("p.y").alias("v")).filter("u <> v").distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
@@ -319,17 +320,15 @@ def near_duplicates(
     texts = texts.join(members.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
     texts = staged(texts, "dup-texts")
     links, left = staged(confirmed(tested, texts, words, percent), "dup-links"), None
-    for n in range(ROUNDS):
+    for n in range(ROUNDS + 1):
         named = mixed_buckets(members, components(links))
-        rows, left_before = named.count(), left
-        left = rows
-        if rows == 0 or (left_before is not None and rows > 0.9 * left_before):
+        before, left = left, named.count()
+        if left == 0 or n == ROUNDS or (before is not None and left > 0.9 * before):
             break
         more, seen = round_of_partners(named, links, sketch, zmax, tested, n), tested
         tested = staged(seen.union(more), "dup-pairs")
         links = staged(links.union(confirmed(tested.join(seen, ["a", "b"], "left_anti"), texts, words, percent)), "dup-links")
 
-    named = mixed_buckets(members, components(links))
     sizes = named.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("component") != F.col("largest")).alias("outside"))
     named = staged(named.join(sizes, "key"), "dup-mixed")
     rest = pairs_of_small(named.filter(F.col("n") <= BIG), sketch, zmax).union(pairs_of_big(named.filter(F.col("n") > BIG), texts, words, percent, seed))
