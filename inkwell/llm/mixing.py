@@ -101,7 +101,7 @@ def mix_sources(
     slots = slots.withColumn("chunk", F.expr(f"shiftright(slot, greatest(bits - {CHUNK_BITS}, 0))"))
     before = slots.groupBy("srank", "chunk").count()
     before = before.select("srank", "chunk", F.coalesce(F.sum("count").over(W.partitionBy("srank").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
-    slots = slots.withColumn("within", F.row_number().over(W.partitionBy("srank", "chunk").orderBy("slot")) - 1).join(before, ["srank", "chunk"])
+    slots = slots.withColumn("within", F.row_number().over(W.partitionBy("srank", "chunk").orderBy("slot")) - 1).join(before.hint("merge"), ["srank", "chunk"])
     slots = slots.withColumn("rank", F.col("earlier") + F.col("within"))
     slots = slots.select("srank", "slot", F.expr("rank div blocks").alias("epoch"), F.expr("rank % blocks").alias("block")).filter(F.col("epoch") < epochs)
 
