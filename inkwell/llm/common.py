@@ -1,37 +1,20 @@
-"""Helpers that the corpus operators share: staged tables, word rules and worker caches."""
+"""Helpers that the corpus operators share: word rules and, from the library, staged tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, staged
+
+__all__ = ["WORD", "ascii_lower", "documents", "shared_dir", "staged", "word_count"]
+
 #: A word of the corpus contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where it is unset, a new local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_inkwell_shared", None)
-        if base is None:
-            base = spark._inkwell_shared = tempfile.mkdtemp(prefix="inkwell-")
-            spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)
