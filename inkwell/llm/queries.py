@@ -86,5 +86,27 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op3_source_mix, op4_pack_sequences, op5_licenses, op6_shards, op7_token_counts, op8_topk_search, op9_telephony, op10_personal_data)}
 
 
+WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+OP1_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+  sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS s FROM w),
+  n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+  p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+  l AS (SELECT x, y FROM p JOIN n i ON x = i.doc_id JOIN n j ON y = j.doc_id WHERE 100 * c >= 80 * (i.n + j.n - c)),
+  e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+  r AS (SELECT x AS id, y AS other FROM e UNION SELECT r.id, e.y FROM r JOIN e ON r.other = e.x),
+  m AS (SELECT id, min(other) AS low FROM r GROUP BY id)
+  SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
+  FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON id = doc_id"""
+
+OP8_SQL = f"""WITH t AS (SELECT doc_id, unnest({WORDS}) AS term FROM documents), post AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY ALL),
+  df AS (SELECT term, count(*) AS df FROM post GROUP BY term), dl AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY doc_id),
+  st AS (SELECT count(*) AS n, (SELECT count(*) FROM t) / count(*) AS average FROM documents),
+  s AS (SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.tf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * d.tf * 2.5::DOUBLE / (d.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / average))), 6) AS score
+    FROM post q JOIN post d USING (term) JOIN df USING (term) JOIN dl ON dl.doc_id = d.doc_id, st WHERE q.doc_id % 20 = 0 GROUP BY ALL)
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s QUALIFY rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the exact operators that it can express; trained scores, tokenizers, 64-bit hashes and digests have no counterpart there."""
+    return {"op1_minhash_dedup": OP1_SQL, "op8_topk_search": OP8_SQL}
