@@ -93,34 +93,49 @@ class Model:
 def telling(found: list[np.ndarray], y: np.ndarray, least: int, spread: float) -> np.ndarray:
     """Which features occur in ``least`` documents or more, and in the labels' documents at shares that differ by ``spread`` standard errors."""
     size = 1 << BITS
-    yes, no = (np.bincount(np.concatenate([f for f, k in zip(found, y, strict=True) if k == label]), minlength=size) for label in (1, 0))
+    yes, no = np.zeros(size), np.zeros(size)
+    for f, label in zip(found, y, strict=True):  # features of a text are distinct
+        (yes if label else no)[f] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
     share = (yes + no) / (n1 + n0)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
     return (yes + no >= least) & (np.abs(yes / n1 - no / n0) >= spread * error)
 
 
-def train(
-    texts: list[str | None], toxic: list[int], *, penalty: float = 1.0, ridge: float = 1e-4, steps: int = 300, least: int = LEAST_DOCUMENTS, spread: float = 2.5, mentions: int = MENTION_ROWS
+def swaps(text: str | None, known: Features) -> list[tuple[set[int], set[int]]]:
+    """What each swap of a text's identity terms gains and loses."""
+    words = words_of(text)
+    return [] if GROUP_OF.keys().isdisjoint(words) else changes(words, features(words, known), known, False)
+
+
+def train(texts: list[str | None], toxic: list[int], **options) -> Model:
+    """``train_on`` the features of ``texts``, taken here."""
+    known = Features()
+    rows = [(np.array([*features(words_of(t), known)], np.int32), [(sorted(a), sorted(b)) for a, b in swaps(t, known)]) for t in texts]
+    return train_on([f for f, _ in rows], [s for _, s in rows], toxic, **options)
+
+
+def train_on(
+    found: list[np.ndarray], swapped: list[list[tuple]], toxic: list[int], *, penalty: float = 1.0, ridge: float = 1e-4, steps: int = 300, least: int = LEAST_DOCUMENTS, spread: float = 2.5, mentions: int = MENTION_ROWS
 ) -> Model:
-    """Fit by Adam on the whole sample. ``penalty`` weighs the mean squared score change over counterfactual pairs; 0 leaves them out.
+    """Fit by Adam on the whole sample: each text's features, what its swaps gain and lose, and its label.
 
-    Features that ``telling`` leaves out get no weight. Both labels weigh alike. Without rows of both labels the model gives the share
-    of label 1 (a half for no rows) to every text.
+    ``penalty`` weighs the mean squared score change over counterfactual pairs; 0 leaves them out. Features that ``telling`` leaves out
+    get no weight. Both labels weigh alike. Without rows of both labels the model gives the share of label 1 (a half for no rows) to
+    every text.
     """
     known, y = Features(), np.array(toxic, np.float64)
     if len(y) == 0 or y.min() == y.max():
         share = 0.5 if len(y) == 0 else min(max(y.mean(), 0.01), 0.99)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    found = [np.array([*features(words_of(t), known)], np.int32) for t in texts]
     used = telling(found, y, least, spread)
-    every = max(1, len(texts) // mentions)
-    pairs = []
-    for i, text in enumerate(texts if penalty else ()):
-        words = words_of(text)
-        if i % every == 0 or not GROUP_OF.keys().isdisjoint(words):
-            gained = changes(words, {*found[i].tolist()}, known, i % every == 0)
-            pairs += [p for p in (([f for f in gain if used[f]], [f for f in loss if used[f]]) for gain, loss in gained) if p[0] or p[1]]
+    every, pairs = max(1, len(found) // mentions), []
+    for i in range(len(found) if penalty else 0):
+        gained = [(a, b) for a, b in swapped[i]]
+        if i % every == 0:
+            own = {*found[i].tolist()}
+            gained += [([f for f in known[t] if f not in own], []) for t in GROUP_OF if known[t][0] not in own]
+        pairs += [p for p in (([f for f in gain if used[f]], [f for f in loss if used[f]]) for gain, loss in gained) if p[0] or p[1]]
     compact = np.cumsum(used) - 1  # features that may get weight, numbered
     size = int(used.sum())
     kept = [compact[f[used[f]]] for f in found]
@@ -151,8 +166,8 @@ def train(
     return Model(weights, float(b))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, seed: int = 3) -> tuple[list[str | None], list[int]]:
-    """Texts and labels of at most ``rows`` labelled documents, those of the smallest hashes; none whose ``crc32(doc_id) mod 5`` is 0.
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, seed: int = 3) -> DataFrame:
+    """``doc_id``, ``text``, ``toxic`` of at most ``rows`` labelled documents, those of the smallest hashes; none whose ``crc32(doc_id) mod 5`` is 0.
 
     Half the rows at most are of either label. Labels that are null, or of documents that aren't there, are left out; of several labels
     of a document the largest counts.
@@ -161,13 +176,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_RO
     seen = seen.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     chosen = [seen.filter(F.col("toxic") == k).groupBy("doc_id", "toxic").count().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows // 2) for k in (0, 1)]
     ids = chosen[0].union(chosen[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).toPandas()  # ``rows`` rows at most
-    got = got.sort_values("doc_id")
-    return got.text.tolist(), got.toxic.astype(int).tolist()
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))  # ``rows`` ids
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
-    return train(*labelled_sample(docs, labels), **options)
+    """Train on the sample. Features are taken on the executors, so the driver sees some thousand bytes a row, and no text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Features()
+        packed = lambda s: np.array(sorted(s), "<i4").tobytes()
+        for batch in batches:
+            own = [packed(features(words_of(t), known)) for t in batch.text]
+            moved = [swaps(t, known) for t in batch.text]
+            yield pd.DataFrame({"doc_id": batch.doc_id, "toxic": batch.toxic, "found": own, "gains": [[packed(a) for a, _ in m] for m in moved], "losses": [[packed(b) for _, b in m] for m in moved]})
+
+    rows = labelled_sample(docs, labels).mapInPandas(run, "doc_id long, toxic int, found binary, gains array<binary>, losses array<binary>").collect()
+    rows.sort(key=lambda r: r.doc_id)
+    read = lambda b: np.frombuffer(bytes(b), "<i4")
+    swapped = [[(read(a).tolist(), read(b).tolist()) for a, b in zip(r.gains, r.losses, strict=True)] for r in rows]
+    return train_on([read(r.found) for r in rows], swapped, [r.toxic for r in rows], **options)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
