@@ -3,7 +3,8 @@
 Every source is a stream of its documents in hash order, cut into blocks of ``B`` words. A schedule of ``2**m`` slots is laid out by the
 van der Corput sequence: point ``k / 2**m`` of the unit interval is visited at time ``bitreverse(k)``, and the cumulative target weights
 cut the interval into one range of points for each source. A source's slots are ranked by time, and the slot of rank ``r`` takes block
-``r mod blocks`` in epoch ``r div blocks``. So any stretch of the schedule holds the sources close to their weights.
+``r mod blocks`` in epoch ``r div blocks``. So any stretch of the schedule holds the sources close to their weights. A source has the
+slots that its target needs, rounded up, and its last slot takes only the words that the target has left.
 
 Everything is DataFrame work. Ranks and running sums go by hash bucket (or time chunk) first and by an offset for each bucket after that,
 so a source with a third of all rows is never sorted in one task.
@@ -74,7 +75,7 @@ def mix_sources(
     source's stream, with ``srank`` a row's key), ``start`` and ``words`` (the words of the document that the slot takes).
 
     Blocks hold ``block_words`` words or fewer, so that there are ``min_slots`` slots where the words allow it; each source's words
-    are within about two blocks of its target. Null texts and texts without words have size 0 and are never taken; null sources are a
+    are its target, rounded to whole words and at least one, however small it is against a block. Null texts and texts without words have size 0 and are never taken; null sources are a
     source of their own; equal rows are laid one after the other and each counts; an empty table gives empty results. Columns other
     than the three named ones are not read. The same rows give the same mix.
     """
@@ -89,13 +90,17 @@ def mix_sources(
     bits = F.greatest(F.least(F.lit(min_slots.bit_length() - 1), F.ceil(F.log2(total + 1))), F.ceil(F.log2(total / block_words)), F.lit(1)).cast("int")
     plan = targets.withColumn("bits", bits)
     plan = plan.withColumn("block_words", F.greatest(F.lit(1), F.ceil(total / F.pow(F.lit(2.0), "bits"))).cast("long"))
-    upto = F.sum("target").over(W.orderBy("srank").rowsBetween(W.unboundedPreceding, 0))
-    plan = plan.withColumn("hi", F.floor(upto / F.col("block_words")).cast("long"))
-    plan = plan.withColumn("lo", F.coalesce(F.lag("hi").over(W.orderBy("srank")), F.lit(0)).cast("long"))
-    plan = staged(plan.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_words")).cast("long")), "mix-plan")
+    plan = plan.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_words")).cast("long"))
+    # whole epochs, and the words that the target has left for the one after them
+    plan = plan.withColumn("goal", F.when(F.col("target") > 0, F.greatest(F.round("target").cast("long"), F.lit(1))).otherwise(F.lit(0)))
+    plan = plan.withColumn("whole", F.expr("if(source_size > 0, goal div source_size, 0L)")).withColumn("rest", F.expr("goal - whole * source_size"))
+    plan = plan.withColumn("n_slots", F.expr("whole * blocks + (rest + block_words - 1) div block_words"))
+    plan = plan.withColumn("hi", F.sum("n_slots").over(W.orderBy("srank").rowsBetween(W.unboundedPreceding, 0))).withColumn("lo", F.col("hi") - F.col("n_slots"))
+    plan = plan.withColumn("bits", F.greatest("bits", F.length(F.bin(F.max("hi").over(W.partitionBy()) - 1))))
+    plan = staged(plan, "mix-plan")
 
     # the schedule: points of a source's range, by time
-    slots = plan.filter("hi > lo and blocks > 0").select("srank", "bits", "lo", "hi", "blocks", F.explode(F.expr(f"sequence(0L, (hi - lo - 1) div {PIECE})")).alias("piece"))
+    slots = plan.filter("hi > lo").select("srank", "bits", "lo", "hi", "blocks", "source_size", "whole", "rest", F.explode(F.expr(f"sequence(0L, (hi - lo - 1) div {PIECE})")).alias("piece"))
     slots = slots.repartition("srank", "piece").withColumn("k", F.explode(F.expr(f"sequence(lo + piece * {PIECE}, least(hi, lo + (piece + 1) * {PIECE}) - 1)")))
     slots = slots.withColumn("slot", F.expr("conv(reverse(lpad(bin(k), bits, '0')), 2, 10)").cast("long"))
     slots = slots.withColumn("chunk", F.expr(f"shiftright(slot, greatest(bits - {CHUNK_BITS}, 0))"))
@@ -103,7 +108,7 @@ def mix_sources(
     before = before.select("srank", "chunk", F.coalesce(F.sum("count").over(W.partitionBy("srank").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
     slots = slots.withColumn("within", F.row_number().over(W.partitionBy("srank", "chunk").orderBy("slot")) - 1).join(before.hint("merge"), ["srank", "chunk"])
     slots = slots.withColumn("rank", F.col("earlier") + F.col("within"))
-    slots = slots.select("srank", "slot", F.expr("rank div blocks").alias("epoch"), F.expr("rank % blocks").alias("block")).filter(F.col("epoch") < epochs)
+    slots = slots.select("srank", "slot", F.expr("rank div blocks").alias("epoch"), F.expr("rank % blocks").alias("block"), F.expr("if(rank div blocks < whole, source_size, rest)").alias("until"))
 
     # the streams: a document's place is its bucket's place plus the words before it in its bucket
     places = per.withColumn("bucket_at", F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -117,7 +122,8 @@ def mix_sources(
     pieces = laid.filter("size > 0").withColumn("block", F.explode(F.expr("sequence(place div block_words, (place + size - 1) div block_words)")))
     first, last = F.greatest("place", F.expr("block * block_words")), F.least(F.expr("place + size"), F.expr("(block + 1) * block_words"))
     pieces = pieces.select("source", "srank", "block", "doc_id", "place", (first - F.col("place")).alias("start"), (last - first).alias("words"))
-    mix = slots.join(pieces.hint("merge"), ["srank", "block"]).select("slot", "source", "srank", "epoch", "block", "doc_id", "place", "start", "words")
+    mix = slots.join(pieces.hint("merge"), ["srank", "block"]).withColumn("words", F.least("words", F.expr("until - place - start"))).filter("words > 0")
+    mix = mix.select("slot", "source", "srank", "epoch", "block", "doc_id", "place", "start", "words")
     return Mix(laid, targets, mix)
 
 

@@ -69,6 +69,19 @@ def test_mix_edges(spark):
     assert mixing.taken(mixing.mix_sources(table(spark, []))).count() == 0
 
 
+def test_mix_takes_targets_of_sources_smaller_than_a_block(spark):
+    r = random.Random(3)
+    rows = [(k, "w " * r.randint(100, 900), "ac"[k % 2]) for k in range(400)] + [(1000, "w " * 400, "b"), (1001, "w " * 3, None), (1002, "w", "d")]
+    found = mixing.mix_sources(table(spark, rows), min_slots=2)
+    got = mixing.taken(found).collect()
+    assert 512 < found.documents.first().block_words <= 1024
+    check_mix(rows, got)
+    targets = {x.source: x.target for x in found.targets.collect()}
+    for s, want in targets.items():
+        assert abs(sum(x.taken for x in got if x.source == s) - want) < 1, s
+    assert targets["b"] == 800
+
+
 def test_schedule_is_even(spark):
     r = random.Random(5)
     rows = [(k, "w " * r.randint(5, 60), r.choice("aab")) for k in range(300)]
