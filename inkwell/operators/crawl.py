@@ -116,6 +116,16 @@ def frontier_order(frontier: DataFrame, limit: int | None = None) -> DataFrame:
     return ordered if limit is None else ordered.limit(limit)
 
 
+def frontier_ranks(frontier: DataFrame) -> DataFrame:
+    """The whole frontier with ``rank`` from 1: ranges of the order are sorted and written, and places within a range are shifted by a count for each."""
+    frontier = staged(frontier, "frontier")  # a sort by ranges reads its input twice
+    rows = staged(frontier_order(frontier).withColumn("__m", F.monotonically_increasing_id()), "frontier-order")
+    rows = rows.withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND((1 << 33) - 1))
+    counts = rows.groupBy("__p").agg(F.count("*").alias("__c"))
+    offsets = counts.select("__p", F.coalesce(F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    return rows.join(offsets, "__p").withColumn("rank", (F.col("__o") + F.col("__i") + 1).cast("long")).drop("__m", "__p", "__i", "__o")
+
+
 LOG = "url_id long, depth int, url string, status int, bytes long"
 
 

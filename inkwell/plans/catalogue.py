@@ -262,6 +262,10 @@ def catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
             lambda s, d: crawl.frontier_order(frontier(s, d), 100).select("priority", "depth", "url", "domain", "cnt"),
             f"WITH {FRONTIER} SELECT {PRIORITY} AS priority, depth, url, domain, cnt FROM fr ORDER BY priority, depth, url LIMIT 100",
         ),
+        "frontier_ranks": (
+            lambda s, d: crawl.frontier_ranks(frontier(s, d)).select("rank", "priority", "depth", "url", "domain", "cnt"),
+            f"WITH {FRONTIER}, pr AS (SELECT {PRIORITY} AS priority, depth, url, domain, cnt FROM fr) SELECT row_number() OVER (ORDER BY priority, depth, url) AS rank, * FROM pr",
+        ),
         "crawl_simulation": (crawl_simulation, None),
         "robots_filter": (robots_filter, robots_sql()),
         "crawl_log_parse": (lambda s, d: log_frame(s), f"WITH {LOG_SQL} SELECT * FROM lg"),

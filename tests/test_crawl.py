@@ -8,6 +8,7 @@ from urllib.parse import urldefrag, urljoin, urlparse
 from pyspark.sql import functions as F
 
 from inkwell.operators import crawl
+from inkwell.plans import catalogue
 
 PAGES = [
     # page_id, url, final_url, status, content_type, html
@@ -71,6 +72,15 @@ def test_links(spark):
     assert [[r.href for r in got if r.page_id == k + 1] for k in range(3)] == want
 
 
+def test_whole_frontier(spark, sf):
+    rows = catalogue.queries()["frontier_ranks"](spark, sf).collect()
+    want = catalogue.frontier(spark, sf).collect()
+    assert len(rows) == len(want) > 100
+    order = sorted((r.priority, r.depth, r.url.encode(), r.domain, r.cnt) for r in want)
+    assert [(r.priority, r.depth, r.url.encode(), r.domain, r.cnt) for r in sorted(rows, key=lambda r: r["rank"])] == order
+    assert sorted(r["rank"] for r in rows) == [*range(1, len(rows) + 1)]
+
+
 def test_crawl(spark):
     config = crawl.CrawlConfig(max_urls=30)
     rules = spark.createDataFrame(ROBOTS, "domain string, body string")
