@@ -2,9 +2,9 @@ r"""Licence scan by a positional index of rare words.
 
 Templates are word sequences. Corpus document frequencies of the templates' words, counted over all documents, give each template its
 anchors: its words of highest IDF. The index maps an anchor to its postings (template, position). A file is looked up by the anchors that
-occur in it: an occurrence at word ``p`` of an anchor at position ``q`` proposes the template at ``p - q``; proposals from several anchors
-meet by that relative position. A proposed place is verified by its template's mandatory key phrase, and scored by the IDF share of the
-template's words that stand where the template has them.
+occur in it: an occurrence at word ``p`` of an anchor at position ``q`` proposes the template at ``p - q``. Proposals of a template's anchors are
+united, not intersected, so one anchor suffices. A proposed place is verified by its template's mandatory key phrase, and scored by the IDF share of the
+template's words that stand where the template has them, or by their plain share where all of them are in every document.
 
 It is all SQL expressions: two passes over the texts, no shuffle but that of the counts (a row for each template word and task). Only
 texts that hold an anchor are split into words.
@@ -117,8 +117,11 @@ def scan(docs: DataFrame, *, text_col: str = "text", templates: tuple[Template,
         if t.base:
             places.append(f"transform({verified}, p -> struct(p as at, '{t.label}' as label, true as base, 1D as score))")
         else:
-            total = sum(weight[w] for w in words) or 1.0
-            got = " + ".join(f"CASE WHEN p + {i} >= 0 AND get(__lic_words, p + {i}) = '{w}' THEN {weight[w]!r}D ELSE 0D END" for i, w in enumerate(words))
+            own = {w: weight[w] for w in words}
+            if not any(own.values()):
+                own = dict.fromkeys(words, 1.0)
+            total = sum(own[w] for w in words)
+            got = " + ".join(f"CASE WHEN p + {i} >= 0 AND get(__lic_words, p + {i}) = '{w}' THEN {own[w]!r}D ELSE 0D END" for i, w in enumerate(words))
             scored = f"transform({verified}, p -> struct(p as at, '{t.label}' as label, false as base, least(1D, ({got}) / {total!r}D) as score))"
             places.append(f"filter({scored}, x -> x.score >= {t.share!r}D)")
     found = f"CASE WHEN size(__lic_hits) > 0 THEN array_sort(concat({', '.join(places)})) END"

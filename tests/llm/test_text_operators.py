@@ -95,6 +95,13 @@ def test_licences(spark, sf, monkeypatch):
     assert got[8].labels == "gpl-3" and got[8].n_base == 0 and got[10].labels == "all-rights-reserved" and got[12].labels == ""
 
 
+def test_licences_of_words_in_every_text(spark):
+    texts = ["x. All rights reserved.", "GNU Lesser General Public License; all rights reserved"]
+    for some, labels in ((texts[:1], ["all-rights-reserved"]), (texts[1:], ["all-rights-reserved", "lgpl"]), (texts, ["all-rights-reserved"])):
+        for r in licenses.scan(table(spark, some)).collect():
+            assert {x.label: x.score for x in r.licenses}.items() >= dict.fromkeys(labels, 1.0).items()
+
+
 def test_licences_empty(spark):
     assert licenses.scan(table(spark, ["x"]).limit(0)).count() == 0
 
