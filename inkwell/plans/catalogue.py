@@ -139,9 +139,9 @@ def log_frame(s: SparkSession) -> DataFrame:
 
 
 def crawl_simulation(s: SparkSession, d: str) -> DataFrame:
-    """A crawl of the whole snapshot from its first pages, a thousand URLs a round."""
+    """A crawl of the whole snapshot from its first pages, a thousand URLs a round: the budget is the number of its pages."""
     seeds = [r.url for r in pages(s, d).orderBy("page_id").limit(20).collect()]
-    return crawl.simulate(pages(s, d), seeds, crawl.CrawlConfig(tld=".", batch=1000))
+    return crawl.simulate(pages(s, d), seeds, crawl.CrawlConfig(max_urls=pages(s, d).count(), tld=".", batch=1000))
 
 
 def robots_filter(s: SparkSession, d: str) -> DataFrame:

@@ -96,6 +96,15 @@ def test_limit_and_empty(spark):
     assert crawl.simulate(pages.limit(0), [], crawl.CrawlConfig()).count() == 0
 
 
+def test_registered_crawl_has_no_cut(spark, monkeypatch):
+    rows = [(k, f"http://a.nz/{k}.html", f'<a href="/{k + 1}.html">x</a>') for k in range(3)]
+    budgets = []
+    monkeypatch.setattr(catalogue, "pages", lambda s, d: s.createDataFrame(rows, "page_id long, url string, html string").union(s.range(10, 5_500).selectExpr("id", "concat('http://b.nz/', id, '.html')", "''")))
+    monkeypatch.setattr(crawl, "simulate", lambda pages, seeds, config: budgets.append((config.max_urls, pages.count())))
+    catalogue.crawl_simulation(spark, "")
+    assert budgets == [(5_493, 5_493)]
+
+
 def test_domain_rules(spark):
     rows = spark.createDataFrame([("http://foo.nzx.com/",), ("http://a.NZ/",), ("http://u@b.nz:80/",), ("x",)], "u string")
     got = rows.select(crawl.in_domain(F.col("u"), ".nz").alias("a"), crawl.in_domain(F.col("u"), ".nz", True).alias("s")).collect()
