@@ -58,12 +58,76 @@ def test_groups(spark):
 
 
 def test_big_bucket_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BIG", 8)
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "FEW", 2)
     rows = [(k + 1, t) for k, t in enumerate(corpus(3, 1, 90, 150))]
     assert run(spark, rows, words=2) == brute(rows, 2)
 
 
+def test_links_stay_in_proportion_to_a_group(spark, monkeypatch):
+    """Copies that share buckets and are seldom linked: what leaves the blocks must not grow as pairs do."""
+    made = []
+    plain = neardup.block_links
+
+    def counted(*a):
+        made.append(plain(*a).count())
+        return plain(*a)
+
+    monkeypatch.setattr(neardup, "block_links", counted)
+    monkeypatch.setattr(neardup, "BLOCK", 128)
+    r = random.Random(9)
+    base = [f"w{r.randrange(400)}" for _ in range(60)]
+    for n in (250, 500):
+        rows = [(k + 1, " ".join(changed(r, base, 0.05))) for k in range(n)]
+        made.clear()
+        assert run(spark, rows, words=2) == brute(rows, 2)
+        assert 0 < sum(made) < 5 * n
+
+
+def test_block():
+    import numpy as np
+
+    r = random.Random(4)
+    sampler, limit = neardup.Sampler(288, 7), neardup.most_differing_bits(288, 1024, 0.8)
+    base = [f"w{k}" for k in range(80)]
+    texts = [" ".join(changed(r, base, r.choice([0, 0.02, 0.05, 0.1]))) for _ in range(60)]
+    sets = [neardup.shingle_set(t, 2) for t in texts]
+    n, every = len(sets), np.ones(60, bool)
+    bits = np.stack([sampler.sketch(sampler.samples(s), 1024).view(np.uint64) for s in sets])
+    at = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if neardup.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), 80):
+                a, b = at[i], at[j]
+                at = [min(a, b) if x in (a, b) else x for x in at]
+    links = neardup.Block(np.arange(n), np.arange(n), ~every, every, every, np.array([*map(len, sets)]), bits, texts).links(2, 80, limit)
+    got = list(range(n))
+    for a, b in links:
+        a, b = got[a], got[b]
+        assert a != b
+        got = [min(a, b) if x in (a, b) else x for x in got]
+    assert got == at and len(set(at)) < n
+
+
+def test_components(spark):
+    r = random.Random(5)
+    for edges in ([(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 30)] + [(50, 60), (60, 55)], [(r.randrange(80), r.randrange(80)) for _ in range(60)], []):
+        at = list(range(100))
+        for a, b in edges:
+            a, b = at[a], at[b]
+            at = [min(a, b) if x in (a, b) else x for x in at]
+        got = {x.id: x.component for x in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {k: c for k, c in enumerate(at) if k != c}
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, b), (2, a), (2, b), (3, a + " x"), (4, b + " x"), (5, a)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)
+    got = sorted((x.doc_id, x.component_id) for x in neardup.near_duplicates(df, words=2).collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 2), (4, 1), (5, 2)]
+
+
 def test_edges(spark):
     long = " ".join(f"v{k % 5000}x{k}" for k in range(20_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One"), (5, "one"), (6, "a b"), (7, "A\tB"), (8, long), (9, long + " z"), (10, "É é"), (11, "é é"), (None, "a b"), (6, "a b")]
