@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import licenses, mixing, neardup, packing, pii, sharding, telephony, tokencount, topk, toxicity
-from .common import documents
+from .common import documents, staged
 
 
 def vocabulary(name: str) -> str:
@@ -32,7 +32,7 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(documents(spark, sf_dir), vocabulary=vocabulary("word_bpe_49k.json"))
-    digests = packing.staged(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pack-pieces")
+    digests = staged(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pack-pieces")
     return packing.pack(digests).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -69,7 +69,7 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = telephony.encode_documents(documents(spark, sf_dir))
+    media = staged(telephony.encode_documents(documents(spark, sf_dir)), "media", compression="zstd")
     media = media.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
     return telephony.decode_media(media, keep_pcm=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 

@@ -1,7 +1,8 @@
 """Telephony audio as a media column: mu-law and A-law by lookup tables, IMA ADPCM decoded across blocks, PCM resampled.
 
 A media value is a RIFF/WAVE file with one channel at 8 kHz in one of three telephone codecs. Decoding gives 16-bit PCM, resampled to
-16 kHz. ADPCM is sequential inside a block but its blocks are independent, so numpy advances all blocks of a batch one sample at a time.
+16 kHz by a half-band filter. ADPCM is sequential inside a block but its blocks are independent, so numpy advances all blocks of a batch
+one sample at a time. Files are worked on in slices of about a megabyte, so a task's memory follows its longest file and not its rows.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, slices
+
 # WAVE format tags, ADPCM block size, and the step-index changes and step sizes of the IMA ADPCM standard.
 TAGS = {"alaw": 6, "mulaw": 7, "ima_adpcm": 17}
 CODECS = ("mulaw", "alaw", "ima_adpcm")
@@ -110,13 +113,27 @@ def expand(codec: str, data: bytes) -> np.ndarray:
     return (MULAW if codec == "mulaw" else ALAW)[raw]
 
 
+def half_band(pairs: int = 6, bits: int = 14) -> np.ndarray:
+    """Weights of the samples on either side of a new one, nearest first: a sinc under a Hann window, in units of ``2**-bits``; twice their sum is 1."""
+    at = np.arange(pairs) + 0.5
+    weight = np.sinc(at) * np.cos(np.pi * at / (2 * pairs + 1)) ** 2
+    whole = np.round(weight / (2 * weight.sum()) * (1 << bits)).astype(np.int32)
+    whole[0] += (1 << bits - 1) - whole.sum()
+    return whole
+
+
+HALF_BAND, HALF_BITS = half_band(), 14
+
+
 def resample(pcm: np.ndarray) -> np.ndarray:
-    """16 kHz from 8 kHz: the samples, and between each two their mean, rounded down; the last is held."""
-    out = np.empty(2 * len(pcm), np.int16)
-    out[::2] = pcm
-    if len(pcm):
-        out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
-        out[-1] = pcm[-1]
+    """16 kHz from 8 kHz: the samples as they are, and between each two one from the half-band filter, rounded half up; the ends are held."""
+    out, n, taps = np.empty(2 * len(pcm), np.int16), len(pcm), len(HALF_BAND)
+    if n:
+        wide = np.pad(pcm.astype(np.int32), taps, "edge")
+        between = np.full(n, 1 << HALF_BITS - 1, np.int32)
+        for j, w in enumerate(HALF_BAND):
+            between += w * (wide[taps - j : taps - j + n] + wide[taps + 1 + j : taps + 1 + j + n])
+        out[::2], out[1::2] = pcm, np.clip(between >> HALF_BITS, -32768, 32767)
     return out
 
 
@@ -137,58 +154,60 @@ def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """``doc_id``, ``n_bytes`` and ``media``: each text's bytes as telephone sound.
 
     The UTF-8 text (null: empty) is filled up with bytes 255 to a positive multiple of 576, and is the file's data as it stands, so
-    nothing is lost; its checksum picks the codec. Equal texts give equal media. Long texts give long files, one at a time in memory.
+    nothing is lost; its checksum picks the codec. Equal texts give equal media, repeated rows and rows without id each their own. Long
+    texts give long files, one at a time in memory. Other columns are not read; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 512):
-                part = batch.iloc[k : k + 512]
-                made = [payload_of(t) for t in part.text]
-                yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64").to_numpy(), "n_bytes": [n for n, _ in made], "media": [wave(CODECS[zlib.crc32(p) % 3], p) for _, p in made]}).astype({"doc_id": "Int64"})
+            for part in slices(batch, 1):
+                made = [payload_of(t) for t in part.column(1).to_pylist()]
+                media = [wave(CODECS[zlib.crc32(p) % 3], p) for _, p in made]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def decode_media(media: DataFrame, *, keep_pcm: bool = True) -> DataFrame:
     """Decode column ``media`` (other columns stay): ``payload`` digests, ``feature`` and, with ``keep_pcm``, ``pcm`` at 16 kHz (little-endian).
 
-    Blocks of all ADPCM files of a batch are decoded together. Null media give nulls; media that aren't such files raise ValueError.
+    Blocks of all ADPCM files of a slice are decoded together. Null media give nulls; media that aren't such files raise ValueError.
+    Columns of the names that it adds are replaced.
     """
+    bounded_batches(media.sparkSession)
+    added = [("payload_bytes", "long", pa.int64()), ("payload_sha256", "string", pa.string()), ("tail_crc32", "long", pa.int64()), ("feature", "string", pa.string()), ("pcm", "binary", pa.binary())][: 4 + keep_pcm]
     kept = [f for f in media.schema if f.name not in ("pcm", "feature", "payload_bytes", "payload_sha256", "tail_crc32")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"]) + ", pcm binary" * keep_pcm
+    at = [f.name for f in kept].index("media")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} {t}" for n, t, _ in added)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 512):
-                yield decode(batch.iloc[k : k + 512])
+            for part in slices(batch, at):
+                rows = decode([None if m is None else read_wave(m) for m in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([r[k] for r in rows], t) for k, (_, _, t) in enumerate(added))], names=[*part.schema.names, *(n for n, _, _ in added)])
 
-    def decode(part: pd.DataFrame) -> pd.DataFrame:
-        read = [None if m is None else read_wave(bytes(m)) for m in part.media]
+    def decode(read: list) -> list[tuple]:
         tied = [i for i, x in enumerate(read) if x and x[0] == "ima_adpcm"]
         sound: dict[int, np.ndarray] = {}
-        group, held = [], 0
-        for i in [*tied, None]:
-            if group and (i is None or held > 4 << 20):
-                blocks = np.concatenate([np.frombuffer(read[j][1], np.uint8)[: len(read[j][1]) // BLOCK * BLOCK].reshape(-1, BLOCK) for j in group])
-                pcm, at = decode_adpcm(blocks), 0
-                for j in group:
-                    n = len(read[j][1]) // BLOCK
-                    sound[j], at = pcm[at : at + n].ravel(), at + n
-                group, held = [], 0
-            if i is not None:
-                group.append(i)
-                held += len(read[i][1])
+        if tied:
+            blocks = [np.frombuffer(read[i][1], np.uint8)[: len(read[i][1]) // BLOCK * BLOCK].reshape(-1, BLOCK) for i in tied]
+            pcm, ends = decode_adpcm(np.concatenate(blocks)), np.cumsum([*map(len, blocks)])
+            sound = {i: pcm[e - len(b) : e].ravel() for i, e, b in zip(tied, ends, blocks, strict=True)}
         rows = []
         for i, x in enumerate(read):
             if x is None:
-                rows.append((None,) * (4 + keep_pcm))
+                rows.append((None,) * len(added))
                 continue
             codec, data = x
-            pcm = resample(sound.pop(i) if i in sound else expand(codec, data))
+            pcm = resample(sound[i] if i in sound else expand(codec, data))
             rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), feature_of(codec, pcm), *([pcm.astype("<i2").tobytes()] * keep_pcm)))
-        out = part[[f.name for f in kept]].reset_index(drop=True)
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "feature", "pcm"][: 4 + keep_pcm]
-        return pd.concat([out, pd.DataFrame(rows, columns=names).astype({"payload_bytes": "Int64", "tail_crc32": "Int64"})], axis=1)
+        return rows
+
+    return media.select(*(f.name for f in kept)).mapInArrow(run, schema)
+
 
-    return media.select(*(f.name for f in kept)).mapInPandas(run, schema)
+def store_media(docs: DataFrame, path: str, **options: str) -> DataFrame:
+    """Write each document's sound to Parquet at ``path``: the file as it came (``media``), and ``pcm`` at 16 kHz with the other columns of ``decode_media``. The table read back."""
+    decode_media(encode_documents(docs, **options)).write.option("compression", "zstd").mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)
