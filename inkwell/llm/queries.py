@@ -79,7 +79,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.expr(f"cast(size(filter(pii, x -> x.kind = '{k}')) as long) as n_{k}") for k in pii.BASE]
     written = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])))
     base = F.filter("pii", lambda x: x["k"] < len(pii.BASE))
-    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
 
 
 def queries() -> dict:
