@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,6 +32,7 @@ def write(df: DataFrame, label: str, *, light: bool = False, **options: str) ->
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    options = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"} | options  # nobody looks for the mark
     (df.coalesce(2 * spark.sparkContext.defaultParallelism) if light else df).write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -47,18 +49,25 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """The staged tables of one operator. ``drop`` deletes those that nothing reads any more."""
+    """The intermediate tables of one operator. ``drop`` removes those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.held = spark, {}, []
 
     def staged(self, df: DataFrame, label: str, *, light: bool = False, **options: str) -> DataFrame:
         table, path = write(df, label, light=light, **options)
         self.paths[path] = table
         return table
 
+    def kept(self, df: DataFrame) -> DataFrame:
+        """Hold ``df`` on the executors' disks, for small tables between two staged ones: what a lost executor held is computed anew from those."""
+        self.held.append(df.persist(StorageLevel.DISK_ONLY))
+        return df
+
     def drop(self, *keep: DataFrame) -> None:
-        """Delete all tables but those of ``keep``."""
+        """Remove all tables but the staged ones of ``keep``."""
+        while self.held:
+            self.held.pop().unpersist()
         for path, table in list(self.paths.items()):
             if not any(table is k for k in keep):
                 delete(self.spark, path)
