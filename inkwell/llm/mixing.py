@@ -84,7 +84,7 @@ def mix_sources(
     rows = staged(rows.withColumn("bucket", F.pmod("h", F.lit(BUCKETS))), "mix-sizes")
 
     per = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    per = staged(per, "mix-buckets")
+    per = staged(per, "mix-buckets", light=True)
     targets = target_words(per.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, epochs)
     total = F.sum("target").over(W.partitionBy())
     bits = F.greatest(F.least(F.lit(min_slots.bit_length() - 1), F.ceil(F.log2(total + 1))), F.ceil(F.log2(total / block_words)), F.lit(1)).cast("int")
@@ -97,7 +97,7 @@ def mix_sources(
     plan = plan.withColumn("n_slots", F.expr("whole * blocks + (rest + block_words - 1) div block_words"))
     plan = plan.withColumn("hi", F.sum("n_slots").over(W.orderBy("srank").rowsBetween(W.unboundedPreceding, 0))).withColumn("lo", F.col("hi") - F.col("n_slots"))
     plan = plan.withColumn("bits", F.greatest("bits", F.length(F.bin(F.max("hi").over(W.partitionBy()) - 1))))
-    plan = staged(plan, "mix-plan")
+    plan = staged(plan, "mix-plan", light=True)
 
     # the schedule: points of a source's range, by time
     slots = plan.filter("hi > lo").select("srank", "bits", "lo", "hi", "blocks", "source_size", "whole", "rest", F.explode(F.expr(f"sequence(0L, (hi - lo - 1) div {PIECE})")).alias("piece"))

@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -192,20 +192,18 @@ def components(links: DataFrame, own: Scratch | None = None) -> DataFrame:
     """``id`` and ``component`` (the smallest id it reaches) for each id of ``links(a, b)`` that is not its component's smallest.
 
     Large-star and small-star steps in turn until nothing changes: edges ``x > y`` move to the smallest neighbour of ``y``, then those of
-    an ``x`` to the smallest of its own. Minima are aggregated before the shuffle; those that a hub's edges meet are written first, so that
-    this is a plain join whose large partitions Spark can split. Edges stay in the shared folder; only a count and a checksum come to the
-    driver.
+    an ``x`` to the smallest of its own. Minima are aggregated before the shuffle; those that a hub's edges meet are kept as a table, so that
+    this is a plain join whose large partitions Spark can split. Each round's edges are written; only a count and a checksum come to the driver.
     """
     own, before = own or Scratch(links.sparkSession), None
     e = links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).filter("x <> y").distinct()
     while True:
-        seen = Observation()
-        e = own.staged(e.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(x, y))").alias("sum")), "links", light=True)
-        now = seen.get["n"], seen.get["sum"]
-        if now[0] == 0 or now == before:
+        e = own.staged(e, "links", light=True)
+        now = e.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(x, y))").alias("sum")).first()
+        if now.n == 0 or now == before:
             return e.select(F.col("x").alias("id"), F.col("y").alias("component"))
         before = now
-        low = own.staged(e.groupBy("x").agg(F.min("y").alias("m")), "links-low", light=True)
+        low = own.kept(e.groupBy("x").agg(F.min("y").alias("m")))
         large = e.join(low.select(F.col("x").alias("y"), F.col("m").alias("lower")), "y", "left").select("x", F.coalesce("lower", "y").alias("y"))
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low, "x").select(F.explode(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e"))
@@ -225,8 +223,8 @@ def mixed_buckets(members: DataFrame, labels: DataFrame, own: Scratch) -> DataFr
     """``key``, ``id``, ``component`` and the bucket's ``largest`` component, of the buckets that hold several."""
     named = members.select("key", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     counts = named.groupBy("key", "component").count().groupBy("key")
-    largest = own.staged(counts.agg(F.expr("max_by(component, struct(count, -component))").alias("largest"), F.count(F.lit(1)).alias("several")).filter("several > 1").drop("several"), "dup-largest", light=True)
-    return own.staged(named.join(largest, "key"), "dup-mixed", light=True)
+    largest = own.kept(counts.agg(F.expr("max_by(component, struct(count, -component))").alias("largest"), F.count(F.lit(1)).alias("several")).filter("several > 1").drop("several"))
+    return own.kept(named.join(largest, "key"))
 
 
 def round_of_partners(named: DataFrame, links: DataFrame, sketch: DataFrame, zmax: int, tested: DataFrame, n: int, own: Scratch) -> DataFrame:
@@ -240,7 +238,7 @@ def round_of_partners(named: DataFrame, links: DataFrame, sketch: DataFrame, zma
     if n == 0:
         degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
         inside, order = inside.join(degree, "id", "left"), F.struct(-F.coalesce("count", F.lit(0)), "id")
-    partners = own.staged(inside.groupBy("key").agg(F.min_by("id", order).alias("partner")), "dup-partners", light=True)
+    partners = own.kept(inside.groupBy("key").agg(F.min_by("id", order).alias("partner")))
     pairs = named.filter("component <> largest").join(partners, "key").select("id", "partner").distinct().alias("p")
     a, b = sketch.alias("a"), sketch.alias("b")
     pairs = pairs.join(a, F.col("p.id") == F.col("a.id")).join(b, F.col("p.partner") == F.col("b.id")).select("p.id", "p.partner", differing_bits("a", "b").alias("z")).filter(F.col("z") <= zmax)
@@ -348,7 +346,7 @@ def block_links(named: DataFrame, sketch: DataFrame, texts: DataFrame, words: in
     size = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
     sizes = named.join(sketch.select("id", "n"), "id").groupBy("key")
     sizes = sizes.agg(size(F.count_if(outside), F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0))).alias("nx"), size(F.count(F.lit(1)), F.sum("n")).alias("ny"))
-    rows = named.join(own.staged(sizes, "dup-sizes", light=True), "key").withColumn("outside", outside.cast("int"))
+    rows = named.join(own.kept(sizes), "key").withColumn("outside", outside.cast("int"))
     whole = "array(struct(0 as bx, 0 as by, 2 + outside as role))"
     asks = "transform(sequence(0, ny - 1), k -> struct(cast(pmod(xxhash64(id), nx) as int) as bx, k as by, 1 as role))"
     asked = "transform(sequence(0, nx - 1), k -> struct(k as bx, cast(pmod(xxhash64(id), ny) as int) as by, 2 as role))"
@@ -386,13 +384,13 @@ def near_duplicates(
     sets = sig.filter("doc_id is not null and k1 is not null")
     classes = staged(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "dup-classes", light=True)
     first = sets.join(classes.select("id"), F.col("doc_id") == F.col("id"), "left_semi").withColumnRenamed("doc_id", "id")
-    first = staged(first.select("id", F.col("n_shingles").alias("n"), "bands", *(f"s{i}" for i in range(SKETCH_WORDS))), "dup-first")
+    first = staged(first.select("id", F.col("n_shingles").alias("n"), "bands", *(f"s{i}" for i in range(SKETCH_WORDS))), "dup-first", light=True)
     sketch = first.drop("bands")
 
     keyed = first.select("id", F.explode("bands").alias("key"))
     who = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"who{k}") for k in (0, 1)]
     shared = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("n"), *who).filter("hub < top")
-    shared = staged(shared.groupBy("hub", "n", "who0", "who1").agg(F.min("key").alias("key")).select("key", "hub"), "dup-buckets", light=True)
+    shared = own.kept(shared.groupBy("hub", "n", "who0", "who1").agg(F.min("key").alias("key")).select("key", "hub"))
     members = staged(keyed.join(shared, "key"), "dup-members", light=True)
 
     zmax = most_differing_bits(bands * rows, SKETCH_BITS, percent / 100)
@@ -401,9 +399,9 @@ def near_duplicates(
     stars = stars.join(a, F.col("p.id") == F.col("a.id")).join(b, F.col("p.hub") == F.col("b.id"))
     stars = stars.select("p.hub", "p.id", differing_bits("a", "b").alias("z")).filter(F.col("z") <= zmax)
     closest = stars.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("z", "hub"))).filter("n <= 2")
-    tested = staged(closest.select(F.col("hub").alias("a"), F.col("id").alias("b")), "dup-pairs", light=True)
+    tested = own.kept(closest.select(F.col("hub").alias("a"), F.col("id").alias("b")))
 
-    ids = staged(members.select("id").distinct(), "dup-ids", light=True)
+    ids = own.kept(members.select("id").distinct())
     texts = docs.filter("doc_id is not null").filter(id_filter(ids, ids.count()))
     texts = texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     texts = staged(texts, "dup-texts")
@@ -414,7 +412,7 @@ def near_duplicates(
         before, left = left, named.count()
         if left == 0 or n == ROUNDS or (before is not None and left > 0.9 * before):
             break
-        pairs = staged(round_of_partners(named, links, sketch, zmax, tested, n, own), "dup-pairs", light=True)
+        pairs = own.kept(round_of_partners(named, links, sketch, zmax, tested, n, own))
         more = staged(confirmed(pairs, texts, words, percent), "dup-links", light=True)
         tested, links, labels = tested.union(pairs), links.union(more), joined(labels, more, own)
 

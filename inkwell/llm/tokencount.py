@@ -13,12 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 400_000
+from .common import bounded_batches
+
+CACHE_WORDS = 200_000
 LEAD = "▁"  #: what a vocabulary of pieces writes for the start of a word
 UNKNOWN = 1 << 32
 
-_built: dict[str, Automaton] = {}
-
 
 class Automaton:
     """Longest match from left to right over ``pieces``; a word that gets stuck counts as one unknown token."""
@@ -88,12 +88,11 @@ def count_tokens(docs: DataFrame, *, vocabulary: str, id_col: str = "doc_id", te
     pieces; a word that can't be split is one unknown token. Null and empty texts have none. Words of any length are read once.
     The vocabulary is read on the driver and sent to the executors: its size is the file's. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_pieces(vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if vocabulary not in _built:
-            _built[vocabulary] = Automaton(shared.value)
-        automaton, known = _built[vocabulary], {}
+        automaton, known = Automaton(shared.value), {}
         for batch in batches:
             rows = []
             for text in batch.text:

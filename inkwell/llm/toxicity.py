@@ -20,10 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 BITS = 18  #: hashed features
 BEGINNINGS = (4, 5)  #: lengths of word beginnings
 SAMPLE_ROWS = 12_000  #: labelled rows that training reads at most
 LEAST_DOCUMENTS = 4  #: sampled documents that a feature occurs in at least
+PART_ROWS = 1_000  #: rows that a step of training works on at a time; bounds the driver's memory, not the result
 MENTION_ROWS = 2_000  #: sampled rows that get a mention of a group at most
 
 #: Groups of identity terms; a term is swapped for the others of its group.
@@ -52,7 +55,7 @@ class Features(dict):
     """Features of a word, remembered for a bounded number of words."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         own = (hashed(word), *(hashed(f"{word[:n]}^") for n in BEGINNINGS if len(word) >= n))
         self[word] = own
@@ -136,25 +139,34 @@ def train_on(
             own = {*found[i].tolist()}
             gained += [([f for f in known[t] if f not in own], []) for t in GROUP_OF if known[t][0] not in own]
         pairs += [p for p in (([f for f in gain if used[f]], [f for f in loss if used[f]]) for gain, loss in gained) if p[0] or p[1]]
-    compact = np.cumsum(used) - 1  # features that may get weight, numbered
+    compact = (np.cumsum(used) - 1).astype(np.int32)  # features that may get weight, numbered
     size = int(used.sum())
-    kept = [compact[f[used[f]]] for f in found]
-    columns, owner = np.concatenate(kept), np.repeat(np.arange(len(kept)), [*map(len, kept)])
-    moved = np.array([compact[f] for a, b in pairs for f in (*a, *b)], np.int64)
-    sign = np.array([x for a, b in pairs for x in (*[1.0] * len(a), *[-1.0] * len(b))])
-    pair = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs]) if pairs else np.empty(0, np.int64)
+    parts = []  # of rows at a time: their features, and how many each has
+    for k in range(0, len(found), PART_ROWS):
+        kept = [compact[f[used[f]]] for f in found[k : k + PART_ROWS]]
+        parts.append((k, np.concatenate(kept), np.array([*map(len, kept)])))
+    del found, swapped, kept  # the driver holds what may get weight, and no more
+    n_pairs, changed = len(pairs), np.array([len(a) + len(b) for a, b in pairs], np.int64)
+    moved = compact[np.fromiter((f for a, b in pairs for f in (*a, *b)), np.int64, int(changed.sum()))]
+    sign = np.fromiter((x for a, b in pairs for x in (*[1.0] * len(a), *[-1.0] * len(b))), np.float32, len(moved))
+    pair = np.repeat(np.arange(n_pairs, dtype=np.int32), changed)
+    del pairs
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
 
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, steps + 1):
-        z = np.bincount(owner, weights=w[columns], minlength=len(y)) + b
-        residual = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.bincount(columns, weights=residual[owner], minlength=size) + ridge * w
+        g, gb = ridge * w, 0.0
+        for k, columns, n in parts:
+            own = slice(k, k + len(n))
+            row = np.repeat(np.arange(len(n)), n)
+            z = np.bincount(row, weights=w[columns], minlength=len(n)) + b
+            residual = weight[own] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own])
+            g += np.bincount(columns, weights=residual[row], minlength=size)
+            gb += residual.sum()
         if len(moved):
-            change = np.bincount(pair, weights=sign * w[moved], minlength=len(pairs))
-            g += 2 * penalty / len(pairs) * np.bincount(moved, weights=sign * change[pair], minlength=size)
-        gb = residual.sum()
+            change = np.bincount(pair, weights=sign * w[moved], minlength=n_pairs)
+            g += 2 * penalty / n_pairs * np.bincount(moved, weights=sign * change[pair], minlength=size)
         rate = 0.1 / (1 + step / 50)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -170,18 +182,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_RO
     """``doc_id``, ``text``, ``toxic`` of at most ``rows`` labelled documents, those of the smallest hashes; none whose ``crc32(doc_id) mod 5`` is 0.
 
     Half the rows at most are of either label. Labels that are null, or of documents that aren't there, are left out; of several labels
-    of a document the largest counts.
+    of a document the largest counts, and of several texts of an id the smallest.
     """
     seen = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     seen = seen.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     chosen = [seen.filter(F.col("toxic") == k).groupBy("doc_id", "toxic").count().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows // 2) for k in (0, 1)]
     ids = chosen[0].union(chosen[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))  # ``rows`` ids
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # ``rows`` ids
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
     """Train on the sample. Features are taken on the executors, so the driver sees some thousand bytes a row, and no text."""
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Features()
         packed = lambda s: np.array(sorted(s), "<i4").tobytes()
@@ -191,27 +205,33 @@ def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
             yield pd.DataFrame({"doc_id": batch.doc_id, "toxic": batch.toxic, "found": own, "gains": [[packed(a) for a, _ in m] for m in moved], "losses": [[packed(b) for _, b in m] for m in moved]})
 
     rows = labelled_sample(docs, labels).mapInPandas(run, "doc_id long, toxic int, found binary, gains array<binary>, losses array<binary>").collect()
-    rows.sort(key=lambda r: r.doc_id)
+    rows.sort(key=lambda r: r.doc_id, reverse=True)
     read = lambda b: np.frombuffer(bytes(b), "<i4")
-    swapped = [[(read(a).tolist(), read(b).tolist()) for a, b in zip(r.gains, r.losses, strict=True)] for r in rows]
-    return train_on([read(r.found) for r in rows], swapped, [r.toxic for r in rows], **options)
+    found, swapped, toxic = [], [], []
+    while rows:
+        r = rows.pop()
+        found.append(read(r.found))
+        swapped.append([(read(a).tolist(), read(b).tolist()) for a, b in zip(r.gains, r.losses, strict=True)])
+        toxic.append(r.toxic)
+    return train_on(found, swapped, toxic, **options)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """``doc_id``, ``score`` (0 to 1) and ``predicted`` for each row; with ``keep``, all columns of ``docs`` and ``toxicity_score``.
 
-    Null and empty texts get the score of no features. Equal texts have equal scores.
+    Null and empty texts get the score of no features. Equal texts, so also repeated rows, have equal scores. An empty table gives no
+    rows. Words are remembered within a task only, and a bounded number of them.
     """
     spark: SparkSession = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast((model.weights, model.bias))  # 2**BITS floats
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, bias = shared.value
-        if "known" not in _worker or _worker["model"] is not weights:
-            _worker["known"], _worker["model"] = WordMargins(weights), weights
-        known = _worker["known"]
-        return pd.Series([1 / (1 + np.exp(-np.clip(known.margin(t) + bias, -30, 30))) for t in texts], dtype="float64")
+        known = WordMargins(weights)
+        for texts in batches:
+            yield pd.Series([1 / (1 + np.exp(-np.clip(known.margin(t) + bias, -30, 30))) for t in texts], dtype="float64")
 
     if keep:
         return docs.withColumn("toxicity_score", scored(F.col(text_col)))
@@ -219,9 +239,6 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-_worker: dict = {}
-
-
 class WordMargins(dict):
     """The features of a word that carry weight, remembered for a bounded number of words; most words have none."""
 
@@ -230,7 +247,7 @@ class WordMargins(dict):
         self.weights, self.features = weights, Features()
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         own = tuple(f for f in self.features[word] if self.weights[f] != 0)
         self.features.clear()

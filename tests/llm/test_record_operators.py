@@ -8,7 +8,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.llm import mixing, packing, queries, sharding, stages, telephony, topk
 from inkwell.llm.common import documents, staged
@@ -148,8 +150,34 @@ def test_encoder_on_odd_texts():
     own, plain, r = packing.WordEncoder(VOCABULARY), Tokenizer.from_file(VOCABULARY), random.Random(2)
     letters = "aZ09 .,'\n\t\ré́Kİ\x0b\x0c\x1c\x85\xa0 　<|>s'll ßΣς😀ÀÉ×÷|!"
     texts = ["".join(r.choice(letters) for _ in range(r.randrange(50))) for _ in range(3000)] + ["a <|endoftext|> B", "<|ENDOFTEXT|>", ""]
-    got = [x.tolist() for k in range(0, len(texts), 100) for x in own.encode_all(texts[k : k + 100])]
-    assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    got = []
+    for k in range(0, len(texts), 100):
+        ids, n = own.encode_all(pa.array([*texts[k : k + 100], None]))
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])][:-1]
+    assert own.exact and got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    own.exact = False  # as for a tokenizer of other rules
+    ids, n = own.encode_all(pa.array(texts[:300]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == got[:300]
+
+
+def test_other_tokenizers_are_not_taken_for_exact():
+    import json
+
+    from tokenizers import Tokenizer
+
+    settings = json.loads(Tokenizer.from_file(VOCABULARY).to_str())
+    assert packing.by_words(settings)
+    for change in ({"normalizer": None}, {"pre_tokenizer": None}, {"post_processor": {"type": "ByteLevel"}}):
+        assert not packing.by_words(settings | change)
+
+
+def test_packing_follows_rows_and_not_partitions(spark):
+    rows = table(spark, EDGES * 2 + [(100 + k, "a b " * (k % 50), "s") for k in range(300)])
+    got = []
+    for n in (1, 5):
+        pieces = packing.token_pieces(rows.repartition(n, "n_chars"), vocabulary=VOCABULARY).withColumn("crc", F.crc32("ids")).drop("ids")
+        got.append(Counter(map(tuple, packing.pack(pieces, group_pieces=100).collect())))
+    assert got[0] == got[1] and sum(got[0].values()) > 300
 
 
 # --- sharding
@@ -183,6 +211,25 @@ def test_rebalance_moves_little():
     assert (sharding.rebalance(edited, weight, 24) == edited).mean() > 0.99
 
 
+def test_next_version_of_the_map(spark, tmp_path):
+    rows = table(spark, [(k, "x" * (k * 37 % 900), "s") for k in range(3000)] + [(None, None, "s")] * 400)
+    first = sharding.shard_records(rows, shards=6, slots=512)
+    sharding.save_map(first, str(tmp_path / "map"))
+    second = sharding.shard_records(rows, shards=7, slots=512, previous=sharding.read_map(spark, str(tmp_path / "map")))
+    sharding.save_map(second, str(tmp_path / "map"))
+    third = sharding.shard_records(rows, shards=5, slots=512, previous=sharding.read_map(spark, str(tmp_path / "map")))
+    assert {r.version for r in sharding.read_map(spark, str(tmp_path / "map")).collect()} == {2, 3} and third.versions.agg({"version": "max"}).first()[0] == 4
+    total = sum(k * 37 % 900 + 8 for k in range(3000)) + 400 * 8
+    for found, shards, most in ((first, 6, 1), (second, 7, 0.2), (third, 5, 0.5)):
+        load, places = Counter(), defaultdict(list)
+        for r in found.rows.collect():
+            load[r.shard] += r["size"]
+            places[r.shard].append(r.slot)
+        assert sum(load.values()) == total and set(load) == set(range(shards)) and max(load.values()) - min(load.values()) < 0.1 * total / shards
+        assert all(sorted(p) == list(range(len(p))) for p in places.values()) and found.moved_bytes <= most * total
+    assert second.moved_bytes >= 0.9 * total / 7
+
+
 # --- telephony
 def test_companding_tables():
     assert (telephony.MULAW[0], telephony.MULAW[127], telephony.MULAW[128], telephony.MULAW[255]) == (-32124, 0, 32124, 0)
@@ -226,12 +273,37 @@ def test_media_round_trip(spark, sf, monkeypatch):
 def test_media_decoding(spark):
     media = spark.createDataFrame([(1, bytearray(telephony.wave("mulaw", bytes([255, 0])))), (2, None)], "id int, media binary")
     got = {r.id: r for r in telephony.decode_media(media).collect()}
-    assert np.frombuffer(bytes(got[1].pcm), "<i2").tolist() == [0, -16062, -32124, -32124] and got[2].pcm is None
+    assert np.frombuffer(bytes(got[1].pcm), "<i2").tolist() == telephony.resample(np.array([0, -32124], np.int16)).tolist() and got[2].pcm is None
     for bad in (b"", b"RIFF0000WAVE", telephony.wave("alaw", b"abcd")[:-2]):
         with pytest.raises(ValueError):
             telephony.read_wave(bad)
 
 
+def test_resampling():
+    """New samples of a slow wave lie on it; samples stay as they are; full scale is clipped and does not wrap."""
+    at = np.arange(400)
+    for period in (5, 8, 20):
+        wave = lambda t: 20_000 * np.sin(2 * np.pi * t / period)  # noqa: E731, B023
+        out = telephony.resample(np.round(wave(at)).astype(np.int16))
+        assert (out[::2] == np.round(wave(at))).all() and np.abs(out[1::2] - wave(at + 0.5))[10:-10].max() < 0.03 * 20_000
+    loud = telephony.resample(np.array([-32768, 32767] * 50, np.int16))
+    assert np.abs(loud[21:-20:2].astype(int)).max() < 3000 and len(telephony.resample(np.empty(0, np.int16))) == 0
+    step = telephony.resample(np.array([32767] * 20 + [-32768] * 20, np.int16)).astype(int)
+    assert step[:30].min() > 20_000 and step[-30:].max() < -20_000 and 2 * int(telephony.HALF_BAND.sum()) == 1 << telephony.HALF_BITS
+
+
+def test_stored_media(spark, tmp_path):
+    rows = table(spark, [*EDGES, (20, "z" * 3000, "s"), (21, "other " * 200, "s")])
+    got = telephony.store_media(rows, str(tmp_path / "media")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in EDGES) + Counter([20, 21])
+    for r in got:
+        codec, data = telephony.read_wave(bytes(r.media))
+        pcm = telephony.resample(telephony.expand(codec, data))
+        assert bytes(r.pcm) == pcm.astype("<i2").tobytes() and r.feature == telephony.feature_of(codec, pcm)
+    assert {telephony.read_wave(bytes(r.media))[0] for r in got} == {*telephony.CODECS}
+    assert telephony.encode_documents(table(spark, [])).count() == 0
+
+
 # --- search
 def brute(rows, k):
     bags = [(i, Counter((t or "").encode().lower().split())) for i, t, _ in rows if i is not None]
@@ -255,9 +327,33 @@ def test_search(spark):
     got = sorted((x.query_id, x["rank"], x.doc_id, x.score) for x in topk.search(docs, asked, k=5, shard=100).collect())
     want = sorted(brute(rows, 5))
     assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=2e-6)
+    twice = asked.union(spark.createDataFrame([(3, "")], "query_id long, text string"))
+    assert topk.search(docs, twice, k=5, shard=100).filter("query_id = 3").count() == 0
     assert topk.search(docs.limit(0), asked).count() == 0 and topk.search(docs, asked.limit(0)).count() == 0
 
 
+def test_shard_search_prunes_exactly(monkeypatch):
+    monkeypatch.setattr(topk, "SEEDS", 20)
+    monkeypatch.setattr(topk, "LONG", 8)
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        n = int(r.integers(1, 300))
+        bags = [np.unique(np.minimum(r.geometric(0.02, int(r.integers(0, 60))), 400), return_counts=True) for _ in range(n)]
+        terms, counts = (np.concatenate([b[i] for b in bags]).astype(np.int64) for i in (0, 1))
+        if not len(terms):
+            continue
+        shard = topk.Shard(np.sort(r.choice(10_000, n, replace=False)), np.array([len(b[0]) for b in bags]), terms, counts, float(counts.sum()) / n, block=int(r.integers(1, 40)), long=8)
+        for _ in range(20):
+            asked = np.unique(np.minimum(r.geometric(0.03, int(r.integers(1, 40))), 420))
+            weights = r.uniform(0.01, 9, len(asked)).round(int(r.integers(0, 3))) + 0.1
+            ids, scores = shard.search(asked, weights, 5)
+            by = dict(zip(asked.tolist(), weights.tolist(), strict=True))
+            every = np.array([sum(by[t] * c * 2.5 / (c + shard.norm[d]) for t, c in zip(*map(np.ndarray.tolist, bags[d]), strict=True) if t in by) for d in range(n)])
+            order = np.lexsort((shard.ids, -np.round(every, 6)))[:5]
+            order = order[every[order] > 0]
+            assert ids.tolist() == shard.ids[order].tolist() and scores == pytest.approx(every[order], abs=2e-6)
+
+
 # --- pipeline
 def test_pipeline(spark):
     import corpus_pipeline

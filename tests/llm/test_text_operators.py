@@ -49,19 +49,24 @@ def test_one_label_or_none():
 def test_toxicity_query(spark):
     from conftest import DATA
 
-    d = str(DATA / "sf0.01")
+    d = str(DATA / "sf0.1")
     got = {r.doc_id: r for r in queries.op2_toxicity(spark, d).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     assert len(got) == documents(spark, d).count()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
     held = [i for i in labels if got[i].held_out]
-    assert np.mean([got[i].predicted == labels[i] for i in held]) > 0.93
+    yes = [i for i in held if labels[i]]
+    caught = sum(got[i].predicted for i in yes)
+    assert caught >= 0.9 * len(yes) and caught >= 0.9 * sum(got[i].predicted for i in held) and len(yes) > 30
 
 
 def test_toxicity_edges(spark):
     model = toxicity.train(*map(list, zip(*sentences(200, 3), strict=True)), least=2)
     got = toxicity.score(table(spark, [None, "", "idiot scum " * 20_000, "word1"]), model).orderBy("doc_id").collect()
     assert got[0].score == got[1].score and got[2].predicted == 1
+    assert len({r.score for r in toxicity.score(table(spark, ["idiot"] * 3), model).collect()}) == 1 and toxicity.score(table(spark, ["x"]).limit(0), model).count() == 0
+    kept = toxicity.score(table(spark, ["idiot", None]), model, keep=True)
+    assert kept.columns == ["doc_id", "text", "score", "pii", "n_words", "toxicity_score"] and kept.count() == 2
     empty = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     assert toxicity.labelled_sample(table(spark, ["a"]), empty).count() == 0 and toxicity.fit(table(spark, ["a"]), empty).bias == 0
     nulls = spark.createDataFrame([(None, 1, 1), (1, None, 1), (99, 1, 0), (0, 1, 1), (0, 0, 1)], "doc_id long, toxic int, quality int")
@@ -82,15 +87,21 @@ def places(text):
     return len(words), sorted(found)
 
 
+def licence_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
 def test_licences(spark, sf, monkeypatch):
     texts = LICENCE_TEXTS + [r.text for r in documents(spark, sf).collect()]
     monkeypatch.setattr(queries, "documents", lambda s, d: table(spark, texts))
     got = {r.doc_id: r for r in queries.op5_licenses(spark, sf).collect()}
+    weight = licenses.idf(table(spark, texts), licenses.vocabulary(licenses.TEMPLATES))
     for k, text in enumerate(texts):
         n, found = places(text)
         r = got[k]
         assert (r.n_words, r.n_base, r.base_labels) == (n, len(found), ",".join(sorted({x for _, x in found}))), text[:80]
         assert (r.first_word, r.last_word) == ((found[0][0], found[-1][0]) if found else (None, None))
+        assert r.labels == ",".join(sorted({x for _, x in licence_labels(licence_words(text), weight)})), text[:80]
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert got[8].labels == "gpl-3" and got[8].n_base == 0 and got[10].labels == "all-rights-reserved" and got[12].labels == ""
 
@@ -106,10 +117,49 @@ def test_licences_empty(spark):
     assert licenses.scan(table(spark, ["x"]).limit(0)).count() == 0
 
 
-def test_anchors_are_rare():
+def test_index_of_rare_words():
     t = licenses.TEMPLATES[0]
-    weight = {w: 1.0 for w in licenses.vocabulary(licenses.TEMPLATES)} | {"mit": 5.0}
-    assert licenses.anchors((t,), weight)[t] == [("mit", 2)]
+    weight = {w: 1.0 for w in licenses.vocabulary(licenses.TEMPLATES)} | {"mit": 5.0, "license": 3.0}
+    index = licenses.Index((t,), weight)
+    assert index.words == ["mit", "license"] and index.posted == {"mit": [(0, 2)], "license": [(0, 3)]} and index.lead == ["mit"]
+    with pytest.raises(ValueError):
+        licenses.indexed_words(licenses.Template("x", "one two", "one"), {"one": 1.0, "two": 1.0})
+
+
+def licence_labels(words, weight):
+    """All places where a template's key stands and the share of its words in place is enough."""
+    found = []
+    for t in licenses.TEMPLATES:
+        n, own = len(t.key_words), [weight[w] for w in t.words]
+        own = own if any(own) else [1.0] * len(own)
+        for p in range(len(words) - n + 1):
+            if words[p : p + n] == t.key_words:
+                at = p - t.key_at
+                share = sum(x for j, (w, x) in enumerate(zip(t.words, own, strict=True)) if 0 <= at + j < len(words) and words[at + j] == w) / sum(own)
+                if t.base or share >= t.share:
+                    found.append((at, t.label))
+    return sorted(found)
+
+
+def test_all_labels(spark):
+    """Whole, cut and changed licence texts among other words, by brute force over all places."""
+    r, texts = random.Random(12), []
+    for k in range(250):
+        parts = []
+        for t in r.sample(licenses.TEMPLATES, r.randint(0, 4)):
+            words = t.text.split()
+            cut = words[r.choice([0, 0, 3]) : len(words) - r.choice([0, 0, 2])]
+            parts.append(" ".join(f"x{k}" if r.random() < r.choice([0, 0, 0.05]) else w for w in cut))
+            parts.append(" ".join(r.choices(["the", "license", "gnu", "public", "software", "zz", "cc", "by"], k=r.randint(0, 8))))
+        texts.append("\n".join(parts))
+    texts += [" ".join(t.text for t in licenses.TEMPLATES)] * 2 + ["\n".join(t.text for t in reversed(licenses.TEMPLATES)), None, ""]
+    split = [re.findall(licenses.WORD, (t or "").lower()) for t in texts]
+    weight = licenses.idf(table(spark, texts), licenses.vocabulary(licenses.TEMPLATES))
+    df = {w: sum(w in set(words) for words in split) for w in weight}
+    assert weight == pytest.approx({w: np.log((len(texts) + 1) / (df[w] + 1)) for w in weight})
+    got = {x.doc_id: [(p.at, p.label) for p in x.licenses] for x in licenses.scan(table(spark, texts)).collect()}
+    want = {k: licence_labels(words, weight) for k, words in enumerate(split)}
+    assert got == want and {label for v in want.values() for _, label in v} == {t.label for t in licenses.TEMPLATES}
 
 
 # --- personal data
@@ -206,6 +256,30 @@ def test_automaton_is_greedy():
             assert automaton.count(word) == n, (pieces, word)
 
 
+def test_token_counts_of_documents(spark, sf, monkeypatch):
+    """The query against greedy matching with the real vocabulary, by a set of pieces and plain slices."""
+    path = queries.vocabulary("piece_bpe_32k.model")
+    pieces = set(tokencount.read_pieces(path))
+    longest, known = max(map(len, pieces)), {}
+
+    def greedy(word):
+        at, n = 0, 0
+        while at < len(word):
+            size = next((k for k in range(min(longest, len(word) - at), 0, -1) if word[at : at + k] in pieces), 0)
+            if not size:
+                return 0, 1
+            at, n = at + size, n + 1
+        return n, 0
+
+    texts = [r.text for r in documents(spark, sf).collect()] + ["na\u00efve \u4e00x \U0001f9ff", None, "", "dup dup", "dup dup"]
+    monkeypatch.setattr(queries, "documents", lambda s, d: table(spark, texts))
+    got = {r.doc_id: (r.n_words, r.n_tokens, r.n_unknown) for r in queries.op7_token_counts(spark, sf).collect()}
+    for k, text in enumerate(texts):
+        words = (text or "").encode().split()
+        counts = [known.setdefault(w, greedy(tokencount.LEAD + w.decode())) for w in words]
+        assert got[k] == (len(words), sum(n for n, _ in counts) + sum(u for _, u in counts), sum(u for _, u in counts)), (text or "")[:60]
+
+
 def test_token_counts_edges(spark):
     path = queries.vocabulary("piece_bpe_32k.model")
     got = tokencount.count_tokens(table(spark, [None, "", "the the", "x" * 200_000, "一\U0001f9ff the"]), vocabulary=path).orderBy("doc_id").collect()
