@@ -34,7 +34,22 @@ def encode_number(n: int, convention: str = "continue") -> bytes:
 
 
 def encode_numbers(numbers: Iterable[int], convention: str = "continue") -> bytes:
-    return b"".join(encode_number(int(n), convention) for n in numbers)
+    """The bytes of all numbers, a place of all numbers at a time. Raises ValueError for what is below 0 or beyond 63 bits."""
+    n = np.array(numbers if isinstance(numbers, np.ndarray) else list(numbers), dtype=object if not isinstance(numbers, np.ndarray) else None)
+    if convention not in CONVENTIONS or (len(n) and (n.min() < 0 or n.max() >= 1 << 63)):
+        raise ValueError(f"numbers below 0 or beyond 63 bits, or no convention {convention!r}")
+    n = n.astype(np.int64)
+    size = np.ones(len(n), np.int64)
+    for place in range(1, 9):
+        size += n >= 1 << 7 * place
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for place in range(9):
+        own = size > place
+        last = size[own] == place + 1
+        high = ~last if convention == "continue" else last
+        out[start[own] + place] = (n[own] >> 7 * place & 127) | (high.astype(np.int64) << 7)
+    return out.tobytes()
 
 
 def decode_numbers(data: bytes, convention: str = "continue") -> list[int]:
@@ -73,3 +88,13 @@ def varbyte_decode(data: Column, convention: str = "continue") -> Column:
         return values.map(lambda v: None if v is None else decode_numbers(v, convention))
 
     return run(data)
+
+
+def varbyte_sums(data: Column, convention: str = "continue") -> Column:
+    """The running sums of a ``binary``'s numbers: ids of gaps. Null for null."""
+
+    @F.pandas_udf("array<long>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else np.cumsum(np.array(decode_numbers(v, convention), np.int64)))
+
+    return run(data)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from html import unescape
 from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What the link extractor and the priority rule take.
-ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
-BASE_HREF = r"""(?is)<base\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
-BASE_TAG = r"(?is)(<base\b[^>]*>)"
+#: What holds no tags: comments, scripts and styles.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
+#: A start tag's attributes; ``>`` may stand within quotes.
+TAG = r"""(?is)<%s(?=[\s/>])((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+#: The value of the first attribute ``href``, after any others.
+HREF = r"""(?is)^(?:[\s/]*+(?!href[\s=/]|href$)[^\s=/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'][^\s]*+)?+)?+)*+[\s/]*+href\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'][^\s]*+)"""
+# The counts at which the priority rule changes.
 LOW, MIDDLE = (2, 3), 9
 
 
@@ -67,8 +71,25 @@ def priority(count: Column, mode: str = "as_coded") -> Column:
     return F.when(first, 0).when(count.between(*LOW), 1).when(count <= MIDDLE, 2).otherwise(3).cast("int")
 
 
+def hrefs_of(html: Column, tag: str) -> Column:
+    """The ``href`` values of all start tags ``tag``, in order; tags without one, or with an empty one, are left out.
+
+    Comments, scripts and styles hold no tags. Values may be quoted either way or not at all, and are unescaped; where none has an ampersand
+    that stays in the JVM.
+    """
+
+    @F.pandas_udf("array<string>")
+    def unescaped(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else [unescape(x) for x in v] for v in values], dtype=object)
+
+    attributes = F.regexp_extract_all(F.regexp_replace(html, HIDDEN, ""), F.lit(TAG % tag), F.lit(1))
+    values = F.transform(attributes, lambda a: F.regexp_replace(F.regexp_extract(a, HREF, 1), r"""(?s)^(["'])(.*)\1$""", "$2"))
+    values = F.array_remove(values, "")
+    return F.when(F.exists(values, lambda v: F.contains(v, F.lit("&"))), unescaped(values)).otherwise(values)
+
+
 def links_of(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
+    return hrefs_of(html, "a")
 
 
 def parse_ctime(text: Column) -> Column:

@@ -48,7 +48,7 @@ def page_links(pages: DataFrame, *, resolved: bool = True) -> DataFrame:
     With ``resolved`` references are resolved against the page's first ``<base href>``, itself resolved against the page's URL.
     """
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", urls.links_of(html).alias("hrefs"), F.nullif(F.regexp_extract(F.regexp_extract(html, urls.BASE_TAG, 1), urls.BASE_HREF, 1), F.lit("")).alias("base"))
+    rows = pages.select("page_id", "url", urls.links_of(html).alias("hrefs"), F.get(urls.hrefs_of(html, "base"), F.lit(0)).alias("base"))
     if resolved:
         rows = rows.withColumn("base", F.when(F.col("base").isNull(), F.col("url")).otherwise(urls.resolve(F.col("url"), F.col("base"))))
         rows = rows.withColumn("hrefs", urls.resolve_all(F.col("base"), F.col("hrefs")))
@@ -200,6 +200,12 @@ def log_stats(log: DataFrame) -> DataFrame:
     )
 
 
+def trailer_lines(stats: DataFrame) -> DataFrame:
+    """``value``: the closing lines of a log, of the one row of ``log_stats``."""
+    lines = [F.concat(F.lit(name), F.col(c).cast("string")) for name, c in (("URLs: ", "n_urls"), ("Bytes: ", "total_bytes"), ("Errors: ", "n_errors"))]
+    return stats.select(F.explode(F.array(*lines, F.concat(F.lit("Time: "), urls.elapsed(F.col("seconds"))))).alias("value"))
+
+
 def log_lines(log: DataFrame, ts) -> DataFrame:
     """``value``: the text of log rows, at time ``ts``."""
     cells = [F.col(c).cast("string") for c in ("url_id", "depth", "url")] + [urls.as_ctime(ts)] + [F.col(c).cast("string") for c in ("status", "bytes")]

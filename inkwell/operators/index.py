@@ -1,23 +1,22 @@
 """Index tables: page table, postings, dictionary, statistics, blocks and lexicon.
 
 Postings stay flat rows keyed by term; word ids are a view for those who want the file formats. Global ranks and running sums go by
-term prefix first and an offset for each prefix after that, so no window sorts the whole vocabulary in one task.
+range of terms first and an offset for each range after that, so no window sorts the whole vocabulary in one task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.codec import varbyte_length
+from ..functions.codec import varbyte_decode, varbyte_encode, varbyte_length, varbyte_sums
 from ..functions.text import tokenize
 from ..sources.shared import staged
 
 BLOCK = 128  #: postings of a block
-PREFIX = 3  #: characters of a term that a window is partitioned by
 
 
 @dataclass
@@ -61,15 +60,15 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def prefix_of(term: str = "term") -> Column:
-    return F.substring(term, 1, PREFIX)
-
-
 def running(rows: DataFrame, amount: Column, order: str = "term") -> DataFrame:
-    """``rows`` (a row for each term) with ``before``, the sum of ``amount`` over smaller terms."""
-    rows = rows.withColumn("__p", prefix_of()).withColumn("__a", amount.cast("long"))
-    by_prefix = rows.groupBy("__p").agg(F.sum("__a").alias("__s"))  # prefixes of three letters or digits: 48,000 rows at most
-    offsets = by_prefix.select("__p", F.coalesce(F.sum("__s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    """``rows`` (a row for each term) with ``before``, the sum of ``amount`` over smaller terms.
+
+    Ranges of terms, which Spark cuts by a sample so that they are alike in size, are summed each for itself and shifted by the sum of
+    the ranges before.
+    """
+    rows = staged(rows.withColumn("__a", amount.cast("long")).repartitionByRange(order).withColumn("__p", F.spark_partition_id()), "running")
+    ranges = rows.groupBy("__p").agg(F.sum("__a").alias("__s"))  # a row for each partition
+    offsets = ranges.select("__p", F.coalesce(F.sum("__s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
     within = F.coalesce(F.sum("__a").over(W.partitionBy("__p").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("__w", within).join(offsets, "__p").withColumn("before", (F.col("__o") + F.col("__w")).cast("long")).drop("__p", "__a", "__o", "__w")
 
@@ -143,6 +142,45 @@ def next_geq(posted: DataFrame, probes: DataFrame) -> DataFrame:
     return wanted.join(hits, ["t", "target"], "left").select(F.col("t").alias("term"), "target", "doc_id")
 
 
+BLOCKS = "term string, block long, last_doc_id long, n long, doc_bytes long, freq_bytes long, docs binary, freqs binary"
+
+
+def encode_blocks(posted: DataFrame, block: int = BLOCK, convention: str = "continue") -> DataFrame:
+    """The encoded index: ``BLOCKS``, a row for each block with its metadata and the bytes of its gaps and frequencies.
+
+    A row holds ``block`` postings at most, however frequent its term is.
+    """
+    rows = gaps(posted, block).groupBy("term", "block").agg(F.max("doc_id").alias("last_doc_id"), F.sort_array(F.collect_list(F.struct("pos", "gap", "tf"))).alias("p"))
+    rows = rows.select("term", "block", "last_doc_id", F.size("p").cast("long").alias("n"), *(varbyte_encode(F.col(f"p.{c}"), convention).alias(name) for c, name in (("gap", "docs"), ("tf", "freqs"))))
+    return rows.select("term", "block", "last_doc_id", "n", F.octet_length("docs").cast("long").alias("doc_bytes"), F.octet_length("freqs").cast("long").alias("freq_bytes"), "docs", "freqs")
+
+
+def write_blocks(blocks: DataFrame, path: str) -> None:
+    """Parquet in order of terms and blocks, so that a term's blocks are read alone and metadata without data."""
+    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(path)
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(BLOCKS).parquet(path)
+
+
+def decode_blocks(blocks: DataFrame, convention: str = "continue") -> DataFrame:
+    """``term``, ``doc_id`` and ``tf`` of all postings of encoded blocks."""
+    both = F.arrays_zip(varbyte_sums(F.col("docs"), convention).alias("doc_id"), varbyte_decode(F.col("freqs"), convention).alias("tf"))
+    return blocks.select("term", F.inline(both))
+
+
+def next_geq_of_blocks(blocks: DataFrame, probes: DataFrame, convention: str = "continue") -> DataFrame:
+    """``next_geq`` over encoded blocks: metadata find the first block that reaches the target, and only that one is decoded."""
+    wanted = probes.select(F.col("term").alias("t"), "target").distinct()
+    reach = blocks.select("term", "block", "last_doc_id").join(wanted, (F.col("term") == F.col("t")) & (F.col("last_doc_id") >= F.col("target")))
+    at = reach.groupBy("t", "target").agg(F.min("block").alias("b"))
+    data = blocks.select("term", "block", "docs")
+    found = at.join(data, (F.col("t") == F.col("term")) & (F.col("b") == F.col("block"))).withColumn("ids", varbyte_sums(F.col("docs"), convention))
+    found = found.select("t", "target", F.expr("array_min(filter(ids, x -> x >= target))").alias("doc_id"))
+    return wanted.join(found, ["t", "target"], "left").select(F.col("t").alias("term"), "target", "doc_id")
+
+
 def byte_extents(lines: DataFrame) -> DataFrame:
     """``doc_id``, ``text_start``, ``end_diff`` in the tab-separated file of ``lines(line_no, doc_id, text)``: 64-bit places, without the line's end."""
     size = F.octet_length(F.concat_ws("\t", F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))).cast("long") + 1

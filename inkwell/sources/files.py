@@ -122,6 +122,15 @@ def encode_page_table(pages: DataFrame, convention: str = "continue") -> DataFra
     return pages.select("doc_id", codec.varbyte_encode(cells, convention).alias("data"))
 
 
+def write_page_table(pages: DataFrame, path: str, convention: str = "continue") -> None:
+    """The page table as a table of bytes in order of documents; ``read_stored_page_table`` reads it. One file of bytes is their concatenation."""
+    encode_page_table(pages, convention).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+
+
+def read_stored_page_table(spark: SparkSession, path: str, convention: str = "continue") -> DataFrame:
+    return decode_page_table(spark.read.schema("doc_id long, data binary").parquet(path), convention)
+
+
 def decode_page_table(rows: DataFrame, convention: str = "continue") -> DataFrame:
     """Page-table rows of ``data`` columns that hold whole tuples, one or many."""
     numbers = codec.varbyte_decode(F.col("data"), convention)

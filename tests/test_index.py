@@ -108,6 +108,21 @@ def test_next_geq_and_chunks(spark):
         index.chunk_postings(lines, 0)
 
 
+def test_encoded_blocks(spark, tmp_path):
+    r = random.Random(2)
+    posted = [(t, d, r.randint(1, 300)) for t, n in (("a", 300), ("b", 128), ("c", 1)) for d in sorted(r.sample(range(10**6), n))]
+    frame = spark.createDataFrame(posted, "term string, doc_id long, tf long")
+    for c in ("continue", "stop"):
+        index.write_blocks(index.encode_blocks(frame, convention=c), str(tmp_path / c))
+        blocks = index.read_blocks(spark, str(tmp_path / c))
+        assert blocks.count() == 5 and sorted(rows_of(index.decode_blocks(blocks, c))) == sorted(posted)
+        probes = [(t, x) for t in "abcz" for x in (0, *r.sample(range(10**6), 6), 10**7)] + [(t, d + e) for t, d, _ in r.sample(posted, 20) for e in (0, 1)]
+        asked = spark.createDataFrame(probes, "term string, target long")
+        got = {(x.term, x.target): x.doc_id for x in index.next_geq_of_blocks(blocks, asked, c).collect()}
+        assert got == {(t, x): min((d for u, d, _ in posted if u == t and d >= x), default=None) for t, x in probes}
+        assert {(x.term, x.target): x.doc_id for x in index.next_geq(frame, asked).collect()} == got
+
+
 def test_files(spark, tmp_path):
     path = tmp_path / "c.tsv"
     path.write_text('0\tThis is a "test" document.\nno tab\n12abc\tx\ty\njunk\tz\n7\tlast', newline="")
