@@ -1,6 +1,7 @@
 """Stages of the corpus pipeline, each over all that the stage before it kept.
 
-Every stage but the last returns the columns of ``documents``: ``doc_id``, ``text``, ``lang``, ``source``, ``n_chars``.
+Every stage but the last returns the columns of ``documents``: ``doc_id``, ``text``, ``lang``, ``source``, ``n_chars``; others are left out.
+An empty table gives no rows in any stage.
 """
 
 from __future__ import annotations
@@ -20,19 +21,26 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled documents of ``sf_dir``, does not reject (score below 0.5)."""
+    """Documents that the classifier, fitted on the labelled documents of ``sf_dir``, does not reject (score below 0.5).
+
+    Null and empty texts have the score of no features and stay unless most labelled documents are toxic. Equal texts share their fate,
+    repeated rows each for itself; other columns may be null.
+    """
     model = toxicity.fit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs.select(*COLUMNS), model, keep=True).filter("toxicity_score < 0.5").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles and a similarity of 0.8; documents without words or id stay."""
+    """One document of each group linked by five-word shingles and a similarity of 0.8: that of the smallest id.
+
+    Documents without words or id stay. Rows of one id are kept or go together, as their id decides: repeated rows stay beside one another.
+    """
     kept = neardup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(kept, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind in brackets; ``n_chars`` follows the text."""
+    """All rows, personal data replaced by its kind in brackets; ``n_chars`` follows the text where it changes. Null and empty texts stay as they are."""
     clean = pii.redact(pii.find_personal_data(docs))
     return clean.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -67,7 +75,7 @@ def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their token ids and their places in sequences of 2048."""
+    """Pieces of the documents with their token ids and their places in sequences of 2048. A null or empty text is one piece with the end id alone; repeated rows are packed each for itself."""
     return packing.pack_documents(docs, vocabulary=vocabulary("word_bpe_49k.json"))
 
 

@@ -376,6 +376,28 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed} == set(mixed)
 
 
+def test_stage_edges(spark):
+    """Nulls in any column, repeated rows, a long text, an id of two texts and no rows at all."""
+    from conftest import DATA
+
+    d = str(DATA / "sf0.001")
+    long = " ".join(f"w{k}" for k in range(20_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "mail a@b.cd now", None, "s", 15), (3, "mail a@b.cd now", None, "s", 15), (None, "no id here at all", "en", None, 17), (5, long, "en", "s", None), (6, long, "en", "t", 1), (7, "x", "en", "s", 1), (7, "y z", "en", "s", 3)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    got = {name: stage(spark, docs, d).collect() for name, stage in stages.STAGES}
+    assert all(tuple(got[n][0].asDict()) == stages.COLUMNS for n in ("toxicity", "near duplicates", "personal data", "source mix"))
+    assert Counter(r.doc_id for r in got["toxicity"]) == Counter(i for i, *_ in rows)
+    assert Counter(r.doc_id for r in got["near duplicates"]) == Counter([1, 2, 3, 3, None, 5, 7, 7])
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in got["personal data"]) == Counter((i, "mail [EMAIL] now", 16) if i == 3 else (i, t, n) for i, t, _, _, n in rows)
+    assert {r.doc_id for r in got["source mix"]} <= {3, None, 5, 6, 7}
+    pieces = Counter()
+    for r in got["packing"]:
+        pieces[r.doc_id] += r.length
+    assert pieces[1] == pieces[2] == 1 and pieces[5] == pieces[6] > 20_000 and pieces[3] % 2 == 0
+    for _, stage in stages.STAGES:
+        assert stage(spark, docs.limit(0), d).count() == 0
+
+
 def test_mixed_texts(spark):
     rows = [(k, f" a{k}  b\nc{k} d e\t" + "f g " * (k % 7), "st"[k % 2]) for k in range(40)] + [(99, None, "s"), (98, "", None)]
     out = stages.mix_by_source(spark, table(spark, rows), "").collect()
