@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import urls
+from ..functions.places import placed
 from ..sources.shared import staged
 
 
+PAGES = 1024  #: pages of a range that a domain's links are numbered by
+
+
 @dataclass(frozen=True)
 class CrawlConfig:
     """Limits and rules of a crawl. ``batch`` URLs are taken at once; with 1 the order is that of a sequential crawl."""
@@ -104,10 +108,13 @@ def domain_counts(links: DataFrame) -> DataFrame:
 
 
 def enqueue(found: DataFrame, counts: DataFrame, mode: str = "as_coded") -> DataFrame:
-    """Frontier rows (``priority``, ``depth``, ``url``, ``domain``, ``cnt``) of new links ``found(href, depth, seq, pos)``, the count of a domain growing link by link."""
-    rows = found.withColumn("domain", urls.netloc(F.col("href"))).join(counts.withColumnRenamed("cnt", "prior"), "domain", "left")
-    nth = F.row_number().over(W.partitionBy("domain").orderBy("seq", "pos"))
-    rows = rows.withColumn("cnt", F.coalesce("prior", F.lit(0)) + nth)
+    """Frontier rows (``priority``, ``depth``, ``url``, ``domain``, ``cnt``) of new links ``found(href, depth, seq, pos)``, the count of a domain growing link by link.
+
+    A domain's links are numbered by range of pages first, so a domain of many links is not sorted in one task.
+    """
+    rows = placed(found.withColumn("domain", urls.netloc(F.col("href"))), ["domain"], F.floor(F.col("seq") / PAGES), "seq", "pos")
+    rows = rows.join(counts.withColumnRenamed("cnt", "prior"), "domain", "left")
+    rows = rows.withColumn("cnt", F.coalesce("prior", F.lit(0)) + F.col("place") + 1)
     return rows.select(urls.priority(F.col("cnt"), mode).alias("priority"), "depth", F.col("href").alias("url"), "domain", F.col("cnt").cast("long").alias("cnt"))
 
 

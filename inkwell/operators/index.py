@@ -13,22 +13,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.codec import varbyte_decode, varbyte_encode, varbyte_length, varbyte_sums
+from ..functions.places import SEGMENT, placed, segmented
 from ..functions.text import tokenize
 from ..sources.shared import staged
 
 BLOCK = 128  #: postings of a block
+IDS = 65_536  #: document ids of a range that postings are counted by
 
 
 @dataclass
 class Index:
+    """``weighed`` are the postings with their documents' lengths, so that a search reads its terms' rows and no page table."""
+
     page_table: DataFrame
-    postings: DataFrame
+    weighed: DataFrame
     lexicon: DataFrame
     n_docs: int
     avgdl: float
     total_words: int
     max_doc_id: int | None
 
+    @property
+    def postings(self) -> DataFrame:
+        return self.weighed.select("term", "doc_id", "tf")
+
 
 def tokenized(docs: DataFrame) -> DataFrame:
     """``doc_id`` and its ``tokens``; rows without id are left out."""
@@ -56,6 +64,12 @@ def postings(docs: DataFrame) -> DataFrame:
     return terms.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
+def weighed_postings(tokens: DataFrame) -> DataFrame:
+    """``term``, ``doc_id``, ``tf`` and the document's ``num_words``, of ``tokens(doc_id, tokens)``."""
+    terms = tokens.select("doc_id", F.size("tokens").cast("long").alias("num_words"), F.explode("tokens").alias("term"))
+    return terms.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("num_words").alias("num_words"))
+
+
 def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -91,9 +105,10 @@ def merge_chunks(runs: DataFrame) -> DataFrame:
     return runs.groupBy("term", "doc_id").agg(F.sum("tf").cast("long").alias("tf"))
 
 
-def by_word(posted: DataFrame) -> DataFrame:
-    """A row for each term with its postings in order of documents; a view, as a term's row grows with the corpus."""
-    return posted.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
+def by_word(posted: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """``term``, ``segment`` (from 0) and its ``postings`` in order of documents: a row holds about ``segment`` postings, however frequent its term is."""
+    rows = segmented(posted, ["term"], F.floor(F.col("doc_id") / IDS), segment)
+    return rows.groupBy("term", "segment").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
 
 
 def gaps(posted: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -101,14 +116,10 @@ def gaps(posted: DataFrame, block: int = BLOCK) -> DataFrame:
 
     A term's documents are numbered by range of ids first, so a frequent term is not sorted in one task.
     """
-    posted = posted.withColumn("__r", F.floor(F.col("doc_id") / 65536))
-    spans = posted.groupBy("term", "__r").count()
-    spans = spans.select("term", "__r", F.coalesce(F.sum("count").over(W.partitionBy("term").orderBy("__r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    n = F.row_number().over(W.partitionBy("term", "__r").orderBy("doc_id")) - 1
-    rows = posted.withColumn("__n", n).join(spans, ["term", "__r"]).withColumn("__n", F.col("__b") + F.col("__n"))
-    rows = rows.withColumn("block", F.floor(F.col("__n") / block).cast("long")).withColumn("pos", (F.col("__n") % block).cast("long"))
+    rows = placed(posted, ["term"], F.floor(F.col("doc_id") / IDS), "doc_id")
+    rows = rows.withColumn("block", F.floor(F.col("place") / block).cast("long")).withColumn("pos", (F.col("place") % block).cast("long"))
     last = F.lag("doc_id").over(W.partitionBy("term", "block").orderBy("doc_id"))
-    return rows.withColumn("gap", F.col("doc_id") - F.coalesce(last, F.lit(0))).drop("__r", "__n", "__b")
+    return rows.withColumn("gap", F.col("doc_id") - F.coalesce(last, F.lit(0))).drop("place")
 
 
 def decode_gaps(encoded: DataFrame) -> DataFrame:
@@ -202,8 +213,7 @@ def build_index(docs: DataFrame, *, check_ids: bool = True) -> Index:
     pages = staged(tokens.select("doc_id", F.size("tokens").cast("long").alias("num_words")), "page-table")
     if check_ids and (twice := pages.groupBy("doc_id").count().filter("count > 1").limit(1).collect()):
         raise ValueError(f"doc_id {twice[0].doc_id} occurs more than once")
-    terms = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    posted = staged(terms.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
+    posted = staged(weighed_postings(tokens).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
     lexicon = staged(document_frequency(posted).repartitionByRange("term").sortWithinPartitions("term"), "lexicon")
     s = corpus_stats(pages).first()
     return Index(pages, posted, lexicon, s.n_docs, s.avgdl, s.total_words, s.max_doc_id)

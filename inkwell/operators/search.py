@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.scoring import DIGITS, K1, B, as_text, bm25
 from ..functions.text import snippet, tokenize, tokens_of
+from ..sources.shared import staged
 from .index import Index, build_index
 
 MODES = ("c", "d")
@@ -56,11 +57,11 @@ class Engine:
         known = self.lexicon_of([*wanted])
         if not known or (mode == "c" and len(known) < len(wanted)):
             return self.spark.createDataFrame([], RESULT)
-        hits = self.index.postings.filter(F.col("term").isin(sorted(known)))
+        hits = self.index.weighed.filter(F.col("term").isin(sorted(known)))
         weight, df = F.lit(None), F.lit(None)
         for t in known:
             weight, df = F.when(F.col("term") == t, float(wanted[t])).otherwise(weight), F.when(F.col("term") == t, float(known[t])).otherwise(df)
-        scored = hits.join(self.index.page_table, "doc_id").withColumn("part", weight * self.score(F.col("tf"), df, F.col("num_words")))
+        scored = hits.withColumn("part", weight * self.score(F.col("tf"), df, F.col("num_words")))
         found = scored.groupBy("doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score"), F.count("*").alias("n_terms"))
         if mode == "c":
             found = found.filter(F.col("n_terms") == len(wanted))
@@ -76,7 +77,7 @@ class Engine:
         wanted = queries.select("query_id", F.explode(tokenize("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
         wanted = wanted.withColumn("n_terms", F.count("*").over(W.partitionBy("query_id")))
         known = wanted.join(self.index.lexicon, "term")
-        hits = known.join(self.index.postings, "term").join(self.index.page_table, "doc_id")
+        hits = known.join(self.index.weighed, "term")
         part = F.col("qtf") * self.score(F.col("tf"), F.col("df"), F.col("num_words"))
         found = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score"), F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
         if mode == "c":
@@ -85,8 +86,9 @@ class Engine:
         return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
     def with_snippets(self, results: DataFrame) -> DataFrame:
-        """Results with the documents' first 500 characters; texts are joined to the few rows of the result."""
-        return F.broadcast(results).join(self.documents.select("doc_id", "text"), "doc_id").select(*results.columns, snippet(F.col("text")).alias("snippet"))
+        """Results with the documents' first 500 characters. Results are written first, so Spark knows their size and sends them to the texts only while they are small."""
+        snippets = self.documents.select("doc_id", snippet(F.col("text")).alias("snippet"))
+        return staged(results, "results", light=True).join(snippets, "doc_id").select(*results.columns, "snippet")
 
 
 def run_lines(results: DataFrame) -> DataFrame:

@@ -218,8 +218,8 @@ def catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
         "vocab_word_ids": (lambda s, d: index.word_ids(engine(s, d).index.lexicon), f"WITH {TOKENS} SELECT term, row_number() OVER (ORDER BY term) - 1 AS word_id FROM (SELECT DISTINCT term FROM tok)"),
         "term_freq_postings": (lambda s, d: index.postings(docs(s, d)), f"WITH {POSTINGS} SELECT * FROM post"),
         "postings_by_word": (
-            lambda s, d: index.by_word(engine(s, d).index.postings).select("term", F.size("postings").cast("long").alias("df"), F.array_join(F.transform("postings", lambda x: F.concat_ws(" ", x["doc_id"], x["tf"])), " ").alias("line")),
-            f"WITH {POSTINGS} SELECT term, count(*) AS df, string_agg(doc_id || ' ' || tf, ' ' ORDER BY doc_id) AS line FROM post GROUP BY term",
+            lambda s, d: index.by_word(engine(s, d).index.postings).select("term", "segment", F.size("postings").cast("long").alias("df"), F.array_join(F.transform("postings", lambda x: F.concat_ws(" ", x["doc_id"], x["tf"])), " ").alias("line")),
+            f"WITH {POSTINGS} SELECT term, 0::BIGINT AS segment, count(*) AS df, string_agg(doc_id || ' ' || tf, ' ' ORDER BY doc_id) AS line FROM post GROUP BY term",
         ),
         "doc_freq": (lambda s, d: index.document_frequency(engine(s, d).index.postings), f"WITH {POSTINGS}, {LEX} SELECT * FROM lex"),
         "indexed_tokens": (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import codec
+from ..functions.places import segmented
 from ..functions.scoring import as_text
 
 
@@ -60,10 +61,14 @@ def write_word_ids(words: DataFrame, path: str) -> None:
 
 
 def write_runs(runs: DataFrame, path: str) -> None:
-    """Lines ``word: doc tf doc tf ...`` of ``runs(word_id, doc_id, tf[, chunk_id])``, a folder for each chunk if there are chunks."""
+    """Lines ``word: doc tf doc tf ...`` of ``runs(word_id, doc_id, tf[, chunk_id])``, a folder for each chunk if there are chunks.
+
+    A word of more postings than ``SEGMENT`` goes on in further lines, which ``parse_runs`` reads alike.
+    """
     keys = ["chunk_id", "word_id"] if "chunk_id" in runs.columns else ["word_id"]
     pairs = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))), lambda x: F.concat_ws(" ", x["doc_id"].cast("string"), x["tf"].cast("string")))
-    lines = runs.groupBy(*keys).agg(F.array_join(pairs, " ").alias("pairs")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    runs, parts = segmented(runs, keys, F.floor(F.col("doc_id") / 65536)), [*keys, "segment"]
+    lines = runs.groupBy(*parts).agg(F.array_join(pairs, " ").alias("pairs")).repartitionByRange(*parts).sortWithinPartitions(*parts)
     lines = lines.select(*keys[:-1], F.concat(F.col("word_id").cast("string"), F.lit(": "), F.col("pairs")).alias("value"))
     writer = lines.write.partitionBy("chunk_id") if len(keys) == 2 else lines.write
     writer.text(path)

@@ -110,6 +110,18 @@ def test_queries_have_something_to_do(spark, sf):
     assert got["robots_filter"] < pages and got["links_unseen"] < got["link_first_seen"] and got["crawl_simulation"] > 20
 
 
+def test_counts_of_a_domain_go_on_over_ranges_of_pages(spark):
+    links = [(f"https://{h}.org/{s}-{p}", 1, s, p) for h in ("hot", "rare") for s in range(0, 5000, 700 if h == "hot" else 4000) for p in range(3)]
+    prior = spark.createDataFrame([("hot.org", 4)], "domain string, cnt long")
+    got = {r.url: (r.domain, r.cnt) for r in crawl.enqueue(spark.createDataFrame(links, "href string, depth int, seq long, pos long"), prior).collect()}
+    want, count = {}, {"hot.org": 4, "rare.org": 0}
+    for url, _, _, _ in sorted(links, key=lambda x: x[2:]):
+        domain = url.split("/")[2]
+        count[domain] += 1
+        want[url] = (domain, count[domain])
+    assert got == want
+
+
 def test_whole_frontier(spark, sf):
     rows = catalogue.queries()["frontier_ranks"](spark, sf).collect()
     want = catalogue.frontier(spark, sf).collect()

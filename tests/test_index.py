@@ -97,6 +97,28 @@ def test_blocks(spark, n):
     assert {r.doc_id for r in index.decode_gaps(encoded).collect()} == {3 * k + 5 for k in range(n)}
 
 
+def test_segments(spark, tmp_path):
+    ids = [*range(0, 400_000, 50_000), 7, 9_000_000_000]
+    posted = spark.createDataFrame([(t, i, i % 5 + 1) for t in "ab" for i in ids if t == "a" or i < 8], "term string, doc_id long, tf long")
+    rows = index.by_word(posted, segment=3).orderBy("term", "segment").collect()
+    assert [(r.term, r.segment) for r in rows] == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0)]
+    assert [(p.doc_id, p.tf) for r in rows if r.term == "a" for p in r.postings] == [(i, i % 5 + 1) for i in sorted(ids)]
+    assert all(len(r.postings) < 3 + 3 for r in rows) and index.by_word(posted).count() == 2
+    assert index.by_word(posted.limit(0)).count() == 0
+    runs = posted.replace({"a": "1", "b": "2"}, subset="term").select(F.col("term").cast("long").alias("word_id"), "doc_id", "tf")
+    files.write_runs(runs, str(tmp_path / "runs"))
+    assert sorted(rows_of(files.read_runs(spark, str(tmp_path / "runs")))) == sorted(rows_of(runs))
+    lines = spark.createDataFrame([("1: 0 1 7 3",), ("1: 50000 1",)], "value string")  # a word that goes on in a further line
+    assert sorted(rows_of(files.parse_runs(lines))) == [(1, 0, 1), (1, 7, 3), (1, 50000, 1)]
+
+
+def test_search_reads_no_page_table(spark):
+    e = Engine.over(spark.createDataFrame([(1, "a b"), (2, "a")], SCHEMA))
+    assert e.index.postings.columns == ["term", "doc_id", "tf"]
+    plan = e.search("a b")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "num_words" in plan
+
+
 def test_next_geq_and_chunks(spark):
     posted = spark.createDataFrame([("a", 3, 1), ("a", 9, 1)], "term string, doc_id long, tf long")
     probes = spark.createDataFrame([("a", 4), ("a", 9), ("a", 10), ("b", 0)], "term string, target long")
