@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -354,6 +355,43 @@ def test_shard_search_prunes_exactly(monkeypatch):
             assert ids.tolist() == shard.ids[order].tolist() and scores == pytest.approx(every[order], abs=2e-6)
 
 
+def test_search_is_sent_in_pieces_of_bounded_size(spark):
+    from inkwell.sources.shared import shared_dir
+
+    docs = table(spark, [(k, " ".join(f"w{k % 7}x{j}" for j in range(1500)), "s") for k in range(200)]).coalesce(1)  # 300,000 postings of one task
+    asked = docs.filter("doc_id < 10").select(docs.doc_id.alias("query_id"), "text")
+    before = {*Path(shared_dir(spark)).iterdir()}
+    got = topk.search(docs, asked, k=3).collect()
+    assert sorted((x.query_id, x["rank"], x.doc_id) for x in got) == [(q, n + 1, q % 7 + 7 * n) for q in range(10) for n in range(3)]
+    held = {p.name.rsplit("-", 1)[0]: spark.read.parquet(str(p)) for p in {*Path(shared_dir(spark)).iterdir()} - before}
+    sizes = [len(r.own) // 4 for r in held["topk-pieces"].select("own").collect()]
+    assert sum(sizes) == 300_000 and max(sizes) <= topk.PIECE and sum(r.n for r in held["topk-pieces"].select("n").collect()) == 200
+
+
+def test_queries_meet_shards_in_turn(monkeypatch):
+    monkeypatch.setattr(topk, "SEEDS", 30)
+    monkeypatch.setattr(topk, "LONG", 4)
+    monkeypatch.setattr(topk, "BATCH", 7)
+    r = np.random.default_rng(5)
+    bags = [np.unique(np.minimum(r.geometric(0.03, int(r.integers(0, 50))), 200), return_counts=True) for _ in range(400)]
+    lists = [np.unique(np.minimum(r.geometric(0.03, int(r.integers(1, 30))), 220)) for _ in range(20)]
+    weights = [r.uniform(0.1, 9, len(x)).round(1) + 0.1 for x in lists]
+    best = topk.Best(np.arange(20) * 3, np.array([*map(len, lists)]), np.concatenate(lists), np.concatenate(weights), 6)
+    average, ids, scores = float(np.mean([c.sum() for _, c in bags])), r.permutation(5000)[:400], np.zeros((20, 400))
+    for a in range(0, 400, 90):
+        own = bags[a : a + 90]
+        shard = topk.Shard(ids[a : a + 90], np.array([len(t) for t, _ in own]), *(np.concatenate([b[i] for b in own]).astype(np.int64) for i in (0, 1)), average)
+        best.meet(shard)
+        for d, (terms, counts) in enumerate(own):
+            brought = dict(zip(terms.tolist(), (counts * 2.5 / (counts + shard.norm[d])).tolist(), strict=True))
+            scores[:, a + d] = [sum(w * brought.get(t, 0) for t, w in zip(*map(np.ndarray.tolist, q), strict=True)) for q in zip(lists, weights, strict=True)]
+    who, found, had = best.found
+    for q in range(20):
+        order = np.lexsort((ids, -np.round(scores[q], 6)))[:6]
+        order = order[scores[q][order] > 0]
+        assert best.ids[q] == 3 * q and found[who == q].tolist() == ids[order].tolist() and had[who == q] == pytest.approx(scores[q][order], abs=2e-6)
+
+
 # --- pipeline
 def test_pipeline(spark):
     import corpus_pipeline
