@@ -392,6 +392,23 @@ def test_queries_meet_shards_in_turn(monkeypatch):
         assert best.ids[q] == 3 * q and found[who == q].tolist() == ids[order].tolist() and had[who == q] == pytest.approx(scores[q][order], abs=2e-6)
 
 
+def test_few_documents_are_scored_one_by_one(monkeypatch):
+    scored, exact = [], topk.Shard.exact
+    monkeypatch.setattr(topk.Shard, "exact", lambda self, docs: scored.append(len(docs)) or exact(self, docs))
+    r = np.random.default_rng(6)
+    bags = [np.unique(np.minimum(r.zipf(1.2, 300), 3000), return_counts=True) for _ in range(4840)]
+    asked, bags, k = bags[:40], bags[40:], 5
+    terms, n = np.concatenate([t for t, _ in bags]), len(bags)
+    df = np.bincount(terms, minlength=3001)
+    weights = np.concatenate([c * np.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) for t, c in asked])
+    best = topk.Best(np.arange(40), np.array([len(t) for t, _ in asked]), np.concatenate([t for t, _ in asked]), weights, k)
+    for a in range(0, n, 600):
+        own = bags[a : a + 600]
+        best.meet(topk.Shard(np.arange(a, a + 600), np.array([len(t) for t, _ in own]), *(np.concatenate([b[i] for b in own]) for i in (0, 1)), 300.0))
+    assert np.bincount(best.found[0]).tolist() == [k] * 40
+    assert sum(scored) <= 1.5 * 40 * k * sum(1 / s for s in range(1, 9))  # of shard s alike documents about k / s are among the best k so far
+
+
 # --- pipeline
 def test_pipeline(spark):
     import corpus_pipeline
