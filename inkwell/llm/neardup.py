@@ -145,8 +145,8 @@ def id_filter(ids: DataFrame, n: int) -> Column:
     place = F.pmod(F.xxhash64(F.col("id")), F.lit(size))
     words = ids.select(place.alias("p")).groupBy(F.expr("p div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int)))").alias("bits"))
     bitmap = np.zeros(size // 32, np.uint32)
-    for r in words.toLocalIterator():  # a row for each word of the bitmap at most
-        bitmap[r.w] = r.bits
+    found = words.toArrow()  # in one job: a row of 16 bytes for each word of the bitmap at most
+    bitmap[found["w"].to_numpy()] = found["bits"].to_numpy()
     shared = ids.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")

@@ -26,7 +26,7 @@ BITS = 18  #: hashed features
 BEGINNINGS = (4, 5)  #: lengths of word beginnings
 SAMPLE_ROWS = 12_000  #: labelled rows that training reads at most
 LEAST_DOCUMENTS = 4  #: sampled documents that a feature occurs in at least
-PART_ROWS = 1_000  #: rows that a step of training works on at a time; bounds the driver's memory, not the result
+PART_ROWS = 1_000  #: rows that a step of training works on at a time; bounds the memory, not the result
 MENTION_ROWS = 2_000  #: sampled rows that get a mention of a group at most
 
 #: Groups of identity terms; a term is swapped for the others of its group.
@@ -145,7 +145,7 @@ def train_on(
     for k in range(0, len(found), PART_ROWS):
         kept = [compact[f[used[f]]] for f in found[k : k + PART_ROWS]]
         parts.append((k, np.concatenate(kept), np.array([*map(len, kept)])))
-    del found, swapped, kept  # the driver holds what may get weight, and no more
+    del found, swapped, kept  # what may get weight is held, and no more
     n_pairs, changed = len(pairs), np.array([len(a) + len(b) for a, b in pairs], np.int64)
     moved = compact[np.fromiter((f for a, b in pairs for f in (*a, *b)), np.int64, int(changed.sum()))]
     sign = np.fromiter((x for a, b in pairs for x in (*[1.0] * len(a), *[-1.0] * len(b))), np.float32, len(moved))
@@ -192,7 +192,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_RO
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
-    """Train on the sample. Features are taken on the executors, so the driver sees some thousand bytes a row, and no text."""
+    """Train on the sample, in one task: its rows are bounded by ``SAMPLE_ROWS``. The driver gets the weights alone."""
 
     bounded_batches(docs.sparkSession)
 
@@ -204,16 +204,22 @@ def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
             moved = [swaps(t, known) for t in batch.text]
             yield pd.DataFrame({"doc_id": batch.doc_id, "toxic": batch.toxic, "found": own, "gains": [[packed(a) for a, _ in m] for m in moved], "losses": [[packed(b) for _, b in m] for m in moved]})
 
-    rows = labelled_sample(docs, labels).mapInPandas(run, "doc_id long, toxic int, found binary, gains array<binary>, losses array<binary>").collect()
-    rows.sort(key=lambda r: r.doc_id, reverse=True)
-    read = lambda b: np.frombuffer(bytes(b), "<i4")
-    found, swapped, toxic = [], [], []
-    while rows:
-        r = rows.pop()
-        found.append(read(r.found))
-        swapped.append([(read(a).tolist(), read(b).tolist()) for a, b in zip(r.gains, r.losses, strict=True)])
-        toxic.append(r.toxic)
-    return train_on(found, swapped, toxic, **options)
+    def trained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = lambda b: np.frombuffer(bytes(b), "<i4")
+        rows = [r for batch in batches for r in batch.itertuples(index=False, name=None)]
+        rows.sort(key=lambda r: r[0], reverse=True)
+        found, swapped, toxic = [], [], []
+        while rows:
+            _, label, own, gains, losses = rows.pop()
+            found.append(read(own))
+            swapped.append([(read(a).tolist(), read(b).tolist()) for a, b in zip(gains, losses, strict=True)])
+            toxic.append(label)
+        model = train_on(found, swapped, toxic, **options)
+        yield pd.DataFrame({"weights": [model.weights.astype("<f4").tobytes()], "bias": [model.bias]})
+
+    rows = labelled_sample(docs, labels).mapInPandas(run, "doc_id long, toxic int, found binary, gains array<binary>, losses array<binary>")
+    model = rows.repartition(1).mapInPandas(trained, "weights binary, bias double").collect()  # a row of a megabyte, or none where no task ran
+    return Model(np.frombuffer(bytes(model[0].weights), "<f4"), model[0].bias) if model else train_on([], [], [], **options)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

@@ -128,6 +128,25 @@ def test_one_id_with_two_texts(spark):
     assert got == [(1, 1), (2, 1), (2, 2), (3, 2), (4, 1), (5, 2)]
 
 
+def test_id_filter_takes_one_job_for_all_partitions(spark):
+    ids = spark.range(0, 4000, 2).withColumnRenamed("id", "n").selectExpr("n * 7919 as id")
+    spark.sparkContext.setJobGroup("bitmap", "id_filter")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        maybe = neardup.id_filter(ids, 2000)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 4
+    assert ids.withColumnRenamed("id", "doc_id").filter(maybe).count() == 2000
+    assert spark.range(10**6, 10**6 + 4000).withColumnRenamed("id", "doc_id").filter(maybe).count() < 800
+    none = neardup.id_filter(ids.limit(0), 0)
+    assert ids.withColumnRenamed("id", "doc_id").filter(none).count() == 0
+
+
 def test_edges(spark):
     long = " ".join(f"v{k % 5000}x{k}" for k in range(20_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One"), (5, "one"), (6, "a b"), (7, "A\tB"), (8, long), (9, long + " z"), (10, "É é"), (11, "é é"), (None, "a b"), (6, "a b")]

@@ -1,6 +1,7 @@
 """Toxicity, licences, personal data and token counts against brute force and held-out rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -60,6 +61,20 @@ def test_toxicity_query(spark):
     assert caught >= 0.9 * len(yes) and caught >= 0.9 * sum(got[i].predicted for i in held) and len(yes) > 30
 
 
+def test_training_leaves_the_driver_the_weights_alone(spark, monkeypatch):
+    rows = sentences(300, 6)
+    docs, labels = table(spark, [t for t, _ in rows]), spark.createDataFrame([(k, y) for k, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    sample = sorted(toxicity.labelled_sample(docs, labels).collect(), key=lambda r: r.doc_id)
+    model, same = toxicity.fit(docs, labels, least=2), toxicity.train([r.text for r in sample], [r.toxic for r in sample], least=2)
+    assert np.abs(same.weights).max() > 0.1 and np.allclose(model.weights, same.weights, atol=1e-4) and model.bias == pytest.approx(same.bias, abs=1e-4)
+
+    def process(found, swapped, toxic):
+        return toxicity.Model(np.zeros(8, np.float32), float(os.getpid()))
+
+    monkeypatch.setattr(toxicity, "train_on", process)
+    assert toxicity.fit(docs, labels).bias != os.getpid()
+
+
 def test_toxicity_edges(spark):
     model = toxicity.train(*map(list, zip(*sentences(200, 3), strict=True)), least=2)
     got = toxicity.score(table(spark, [None, "", "idiot scum " * 20_000, "word1"]), model).orderBy("doc_id").collect()
