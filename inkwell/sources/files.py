@@ -75,9 +75,12 @@ def write_runs(runs: DataFrame, path: str) -> None:
 
 
 def parse_runs(lines: DataFrame) -> DataFrame:
-    """``word_id``, ``doc_id``, ``tf`` of lines in ``value``; what isn't such a line is left out."""
+    """``word_id``, ``doc_id``, ``tf`` of lines in ``value``; what isn't such a line is left out.
+
+    The pairs repeat possessively: other repeated groups take a stack frame for each pair, and the line of a frequent word has too many.
+    """
     cells = F.split(F.trim(F.substring_index("value", ":", -1)), r"\s+")
-    rows = lines.filter(F.col("value").rlike(r"^\d+:(\s+\d+\s+\d+)+\s*$")).withColumn("cells", cells)
+    rows = lines.filter(F.col("value").rlike(r"^\d+:(?:\s+\d+\s+\d+)++\s*$")).withColumn("cells", cells)
     each = F.expr("transform(sequence(0, size(cells) div 2 - 1), i -> struct(cast(cells[2 * i] as long) as doc_id, cast(cells[2 * i + 1] as long) as tf))")
     return rows.select(F.substring_index("value", ":", 1).cast("long").alias("word_id"), F.inline(each))
 

@@ -112,6 +112,14 @@ def test_segments(spark, tmp_path):
     assert sorted(rows_of(files.parse_runs(lines))) == [(1, 0, 1), (1, 7, 3), (1, 50000, 1)]
 
 
+def test_long_line_of_a_run(spark):
+    """A frequent word's line; more pairs than a stack has frames for."""
+    pairs = " ".join(f"{i} {i % 3 + 1}" for i in range(200_000))
+    lines = spark.createDataFrame([(f"7: {pairs}",), (f"8: {pairs} 5",), ("9: 1 2 \t",), ("9: 12",), ("9:",)], "value string")
+    found = files.parse_runs(lines).groupBy("word_id").agg(F.count("*").alias("n"), F.sum("doc_id").alias("d"), F.sum("tf").alias("t"))
+    assert sorted(rows_of(found)) == [(7, 200_000, sum(range(200_000)), sum(i % 3 + 1 for i in range(200_000))), (9, 1, 1, 2)]
+
+
 def test_search_reads_no_page_table(spark):
     e = Engine.over(spark.createDataFrame([(1, "a b"), (2, "a")], SCHEMA))
     assert e.index.postings.columns == ["term", "doc_id", "tf"]
