@@ -10,6 +10,8 @@ from ..functions import codec
 from ..functions.places import segmented
 from ..functions.scoring import as_text
 
+PIECE = 1024  #: pairs of a line that are split at once
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``line_no`` (from 1, over the files in order of their parts) and ``value``.
@@ -78,11 +80,13 @@ def parse_runs(lines: DataFrame) -> DataFrame:
     """``word_id``, ``doc_id``, ``tf`` of lines in ``value``; what isn't such a line is left out.
 
     The pairs repeat possessively: other repeated groups take a stack frame for each pair, and the line of a frequent word has too many.
+    A line is cut into pieces of ``PIECE`` pairs before these are split, so that no task holds all numbers of a line as strings.
     """
-    cells = F.split(F.trim(F.substring_index("value", ":", -1)), r"\s+")
-    rows = lines.filter(F.col("value").rlike(r"^\d+:(?:\s+\d+\s+\d+)++\s*$")).withColumn("cells", cells)
+    rows = lines.filter(F.col("value").rlike(r"^\d+:(?:\s+\d+\s+\d+)++\s*$"))
+    pieces = F.regexp_extract_all(F.substring_index("value", ":", -1), F.lit(rf"(?:\d+\s+\d+\s*){{1,{PIECE}}}+"), F.lit(0))
+    rows = rows.select(F.substring_index("value", ":", 1).cast("long").alias("word_id"), F.explode(pieces).alias("piece"))
     each = F.expr("transform(sequence(0, size(cells) div 2 - 1), i -> struct(cast(cells[2 * i] as long) as doc_id, cast(cells[2 * i + 1] as long) as tf))")
-    return rows.select(F.substring_index("value", ":", 1).cast("long").alias("word_id"), F.inline(each))
+    return rows.withColumn("cells", F.split("piece", r"\s+")).select("word_id", F.inline(each))
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

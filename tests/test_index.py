@@ -120,6 +120,16 @@ def test_long_line_of_a_run(spark):
     assert sorted(rows_of(found)) == [(7, 200_000, sum(range(200_000)), sum(i % 3 + 1 for i in range(200_000))), (9, 1, 1, 2)]
 
 
+def test_runs_of_a_frequent_word(spark, tmp_path):
+    posted = spark.range(60_000).selectExpr("id % 5 div 4 as word_id", "id * 3 as doc_id", "id % 7 + 1 as tf")
+    files.write_runs(posted, str(tmp_path / "runs"))
+    found = files.read_runs(spark, str(tmp_path / "runs"))
+    assert found.count() == 60_000 and found.exceptAll(posted).count() == 0
+    assert spark.read.text(str(tmp_path / "runs")).count() == 2
+    lines = spark.createDataFrame([("5:\t1 2\t 3  4 \t",), ("6: 1\t2",)], "value string")  # tabs are spaces too
+    assert sorted(rows_of(files.parse_runs(lines))) == [(5, 1, 2), (5, 3, 4), (6, 1, 2)]
+
+
 def test_search_reads_no_page_table(spark):
     e = Engine.over(spark.createDataFrame([(1, "a b"), (2, "a")], SCHEMA))
     assert e.index.postings.columns == ["term", "doc_id", "tf"]
