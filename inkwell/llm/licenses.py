@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: A word of a lower-cased text: ASCII digits and letters and all that is not ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same characters, named by what they are: Java takes at least twice as long for the negated ranges.
+WORD_OF_JAVA = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 
 @dataclass(frozen=True)
@@ -132,7 +134,7 @@ LOOKED_UP = 16  #: licence words of highest IDF that a file is looked up by, bes
 
 def words_of(text: Column) -> Column:
     """Words, ASCII letters lower-cased. Other letters may change their case too; the one sign whose small letter is ASCII (U+212A) is put out of the way."""
-    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("Å"))), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("Å"))), F.lit(WORD_OF_JAVA), F.lit(0))
 
 
 def vocabulary(templates: tuple[Template, ...]) -> list[str]:

@@ -128,6 +128,16 @@ def test_licences_of_words_in_every_text(spark):
             assert {x.label: x.score for x in r.licenses}.items() >= dict.fromkeys(labels, 1.0).items()
 
 
+def test_licence_words_of_every_character(spark):
+    """The pattern that Spark gets has the characters of ``WORD`` without its negated ranges."""
+    marks = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not (c > 0x3000 and c % 64)]
+    rows = spark.createDataFrame([(k, f"a{m}b") for k, m in enumerate(marks)], "k int, t string")
+    plain = F.regexp_extract_all("t", F.lit(licenses.WORD_OF_JAVA), F.lit(0))
+    assert all(r.x == re.findall(licenses.WORD, marks[r.k].join("ab")) for r in rows.select("k", plain.alias("x")).collect())
+    plan = licenses.scan(table(spark, ["x"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "a-z" in plan and "[^" not in plan
+
+
 def test_licences_empty(spark):
     assert licenses.scan(table(spark, ["x"]).limit(0)).count() == 0
 
