@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 K1, B = 1.5, 0.75
 DIGITS = 6  #: scores are rounded to these before they are ranked
+EXACT = 17  #: significant digits of a text that reads back as the same number
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -20,7 +21,7 @@ def bm25(n_docs: Column, df: Column, tf: Column, length: Column, avgdl: Column,
     return F.when(tf == 0, F.lit(0.0)).otherwise(idf(n_docs, df) * tf * F.lit(k1 + 1) / norm)
 
 
-def as_text(score: Column) -> Column:
-    """Six significant digits without trailing zeros."""
-    shown = F.regexp_replace(F.format_string("%.6g", score), r"([.][0-9]*?)0+(e|$)", "$1$2")
+def as_text(score: Column, digits: int = 6) -> Column:
+    """Six significant digits, or as many as ``digits``, without trailing zeros."""
+    shown = F.regexp_replace(F.format_string(f"%.{digits}g", score), r"([.][0-9]*?)0+(e|$)", "$1$2")
     return F.regexp_replace(shown, r"[.](e|$)", "$1")

@@ -91,9 +91,9 @@ class Engine:
         return staged(results, "results", light=True).join(snippets, "doc_id").select(*results.columns, "snippet")
 
 
-def run_lines(results: DataFrame) -> DataFrame:
-    """``line``: query, document and score with six significant digits, by tabs."""
-    return results.select(F.concat_ws("\t", F.col("query_id").cast("string"), F.col("doc_id").cast("string"), as_text(F.col("score"))).alias("line"))
+def run_lines(results: DataFrame, digits: int = 6) -> DataFrame:
+    """``line``: query, document and score with six significant digits, by tabs. Who reads scores back to work with them takes ``scoring.EXACT`` digits: to round six anew rounds twice."""
+    return results.select(F.concat_ws("\t", F.col("query_id").cast("string"), F.col("doc_id").cast("string"), as_text(F.col("score"), digits)).alias("line"))
 
 
 def missing_ids(queries: DataFrame, evaluated: DataFrame) -> DataFrame:

@@ -4,13 +4,16 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell import repl
+from inkwell.functions import scoring
 from inkwell.operators import index
 from inkwell.operators.search import Engine, missing_ids, run_lines
+from inkwell.plans import catalogue
 from inkwell.sources import files
 from inkwell.streaming import incremental
 
@@ -51,6 +54,16 @@ def test_batch_and_snippets(spark, engine):
     assert rows_of(run_lines(engine.search_batch(queries, "c", 1))) == [("1\t1\t0.205433",)]
 
 
+def test_scores_of_result_lines(spark, sf, monkeypatch):
+    scores = [252.049832, 1151.349999, 115.05, 0.000001, 12.0, 1234567.049999]
+    results = spark.createDataFrame([(1, k, k, x) for k, x in enumerate(scores)], "query_id int, rank long, doc_id long, score double")
+    assert [r.line.split("\t")[2] for r in run_lines(results).orderBy("line").collect()] == ["252.05", "1151.35", "115.05", "1e-06", "12", "1.23457e+06"]
+    assert [float(r.line.split("\t")[2]) for r in run_lines(results, scoring.EXACT).orderBy("line").collect()] == scores
+    monkeypatch.setattr(catalogue, "engine", lambda s, d: SimpleNamespace(search_batch=lambda *a: results))
+    got = catalogue.queries()["result_tsv"](spark, sf).orderBy("doc_id").collect()
+    assert [r.score for r in got] == [252.0, 1151.3, 115.1, 0.0, 12.0, 1234567.0]
+
+
 def test_empty_and_null(spark):
     e = Engine.over(spark.createDataFrame([], SCHEMA))
     assert rows_of(e.search("x")) == [] and e.index.n_docs == 0
