@@ -409,6 +409,47 @@ def test_few_documents_are_scored_one_by_one(monkeypatch):
     assert sum(scored) <= 1.5 * 40 * k * sum(1 / s for s in range(1, 9))  # of shard s alike documents about k / s are among the best k so far
 
 
+def test_alike_documents_and_queries_stand_together(monkeypatch):
+    added, add = [], topk.Shard.add
+    monkeypatch.setattr(topk.Shard, "add", lambda self, to, who, start, end, weights: added.append(int((end - start).sum())) or add(self, to, who, start, end, weights))
+    monkeypatch.setattr(topk, "BATCH", 16)
+    monkeypatch.setattr(topk, "ASKED", 300)
+    r, k = np.random.default_rng(9), 5
+    lists = [np.unique(np.minimum(r.zipf(1.3, 80), 900), return_counts=True) for _ in range(1640)]
+    bags = [(t + 1000 * (i % 8), c) for i, (t, c) in enumerate(lists)]  # eight languages in turn
+    asked, bags = bags[:40], bags[40:]
+    terms, n = np.concatenate([t for t, _ in bags]), len(bags)
+    df = np.bincount(terms, minlength=8000)
+    weights = [c * np.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) for t, c in asked]
+    sizes, terms, brings = np.array([len(t) for t, _ in asked]), np.concatenate([t for t, _ in asked]), np.concatenate(weights)
+    groups, together = topk.by_group(np.arange(40), sizes, terms, brings, k)
+    assert sorted(q for x in together for q in x.ids.tolist()) == [*range(40)] and len(together) > 1
+    assert len({*groups.of(sizes, terms).tolist()}) > 1
+    apart, scores, cost = [topk.Best(np.arange(40), sizes, terms, brings, k)], np.zeros((40, n)), []
+    for best, grouped in ((apart, False), (together, True)):
+        added.clear()
+        for a in range(0, n, 800):
+            own = bags[a : a + 800]
+            every, at = np.unique(np.concatenate([t for t, _ in own]), return_inverse=True)
+            long, counts = np.array([len(t) for t, _ in own]), np.concatenate([c for _, c in own])
+            shard = topk.Shard(np.arange(a, a + 800), long, every, counts, 80.0, own=at, group=groups.of(long, every, at) if grouped else None)
+            for x in best:
+                x.meet(shard)
+        cost.append(sum(added))
+    print(cost); assert cost[1] < 0.8 * cost[0]
+    for d, (t, c) in enumerate(bags):
+        brought = dict(zip(t.tolist(), (c * 2.5 / (c + 1.5 * (0.25 + 0.75 * c.sum() / 80))).tolist(), strict=True))
+        scores[:, d] = [sum(w * brought.get(x, 0) for x, w in zip(q.tolist(), own.tolist(), strict=True)) for (q, _), own in zip(asked, weights, strict=True)]
+    for best in (apart, together):
+        got = {q: [] for q in range(40)}
+        for x in best:
+            for q, i, score in zip(x.ids[x.found[0]].tolist(), *map(np.ndarray.tolist, x.found[1:]), strict=True):
+                got[q].append((i, score))
+        for q in range(40):
+            order = np.lexsort((np.arange(n), -np.round(scores[q], 6)))[:k]
+            assert [i for i, _ in got[q]] == order.tolist() and [x for _, x in got[q]] == pytest.approx(scores[q][order], abs=2e-6)
+
+
 # --- pipeline
 def test_pipeline(spark):
     import corpus_pipeline
